@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = (
-    "language_id", "source_mix", "substring_dedup", "url_filter", "quality_crf",
-    "packing", "quality_rules", "suffix_dedup", "simhash_vp", "order_minhash",
-)
+MODULES = ("substring_dedup", "packing")
 
 
 def _modules():
