@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("substring_dedup", "packing")
+MODULES = ("substring_dedup", "packing", "language_id", "source_mix", "simhash_vp")
 
 
 def _modules():
