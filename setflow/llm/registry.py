@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("substring_dedup", "packing", "language_id", "source_mix", "simhash_vp", "url_filter", "quality_crf", "quality_rules", "order_minhash")
+MODULES = ("substring_dedup", "packing", "language_id", "source_mix", "simhash_vp", "url_filter", "quality_crf", "quality_rules", "order_minhash", "suffix_dedup")
 
 
 def _modules():
