@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    return []
+    from setflow.workloads import matrices, shapes, tpch
+
+    return [tpch, shapes, matrices]
 
 
 def queries() -> dict[str, Query]:
