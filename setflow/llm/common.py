@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 #: Bytes of text that one Arrow batch may carry to Python.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes hashed at once; longer texts are hashed slice by slice.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -90,6 +91,13 @@ def next_pow2(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- numpy hashing -----------------------------------------------------------------------------
 
 _U = np.uint64

@@ -99,11 +99,12 @@ def gram_counter(order: int):
             for lang, parts in pending.items():
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 found.setdefault(lang, []).append((keys, n))
-                if sum(len(k) for k, _ in found[lang]) > 1 << 20:
+                if sum(len(k) for k, _ in found[lang]) > 1 << 18:
                     found[lang] = [merge(found[lang])]
-            if sum(len(k) for parts in found.values() for k, _ in parts) > 1 << 22:
+            if sum(len(k) for parts in found.values() for k, _ in parts) > 1 << 20:
                 yield from flush()
         yield from flush()
+        C.release()
 
     return run
 
@@ -312,6 +313,7 @@ def classifier(shared, names: list[str], text: str):
             lang[none] = "und"
             out = [pa.array(lang, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(entropy, mask=none), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([batch[n] for n in names] + out, names=[*names, *OUT])
+        C.release()
 
     return run
 

@@ -32,7 +32,7 @@ WINDOW = 2048
 END_ID = 1
 SHARD_PIECES = 50_000
 #: Remembered units; beyond, the memory starts anew (ids don't depend on it).
-MEMORY = 1 << 20
+MEMORY = 1 << 19
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _LATIN = re.compile("[\x00-ɏ]*")
@@ -164,7 +164,7 @@ class Encoder:
         return key
 
     def texts(self, texts: C.Texts) -> Iterator[np.ndarray]:
-        for a, b in texts.groups(1 << 19):
+        for a, b in texts.groups():
             data, offsets = texts.bytes_of(a, b)
             if _ODD_SPACE.search(data.tobytes().decode()):
                 for k in range(a, b):
@@ -201,6 +201,7 @@ def piece_maker(path: str, ranks: str | None, window: int, end_id: int):
                 n = len(raw) // 4
                 rows += [(key, s, min(window, n - s), zlib.crc32(raw[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        C.release()
 
     return pieces
 

@@ -104,7 +104,7 @@ def summariser(most: int):
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             texts, langs = C.Texts(batch["text"]), np.array(batch["lang"].to_pylist(), object)
-            for a, b in texts.groups(4 << 20):
+            for a, b in texts.groups(1 << 20):
                 words, counts = lower_words(*texts.bytes_of(a, b))
                 owner = np.repeat(langs[a:b], np.diff(counts))
                 for lang in set(langs[a:b].tolist()):

@@ -83,6 +83,7 @@ def fingerprinter(text: str, size: int, seed: int, names: list[str]):
             texts = C.Texts(batch[text])
             prints = np.array([fingerprint(texts[k], size, seed) for k in range(texts.n)], _U).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch[n] for n in names] + [pa.array(prints)], names=[*names, "print"])
+        C.release()
 
     return run
 

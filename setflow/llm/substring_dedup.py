@@ -77,6 +77,7 @@ def emitter(text: str, window: int, bits: int):
             rows = list(packed_rows(block, np.concatenate(found.pop(block)), bits))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), PACKED.types)], schema=PACKED)
+        C.release()
 
     return emit
 
@@ -123,6 +124,7 @@ def remover(text: str, window: int, bits: int, schema: pa.Schema):
                     stay = np.flatnonzero(~gone[w0:w1]) + w0
                     kept.append(b" ".join([data[s:e].tobytes() for s, e in zip(starts[stay].tolist(), ends[stay].tolist())]))
         out = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
+        C.release()
         return pa.Table.from_arrays([out[name] if name in out else docs[name].cast(schema.field(i).type) for i, name in enumerate(schema.names)], schema=schema)
 
     return remove

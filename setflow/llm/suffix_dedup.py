@@ -88,6 +88,7 @@ def anchor_emitter(text: str, window: int, bits: int):
             if rows:
                 kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["bucket", "block", "several", "hashes"])
+        C.release()
 
     return emit
 
@@ -254,6 +255,7 @@ def remover(text: str, window: int, bits: int, schema: pa.Schema):
             for k in range(b - a):
                 part = data[offsets[k] : offsets[k + 1]]
                 kept.append((part[~gone[offsets[k] : offsets[k + 1]]] if n_removed[a + k] else part).tobytes())
+        C.release()
         out = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_bytes": pa.array(kept, pa.binary())}
         return pa.Table.from_arrays([out[name] if name in out else docs[name].cast(schema.field(i).type) for i, name in enumerate(schema.names)], schema=schema)
 
