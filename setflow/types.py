@@ -54,8 +54,8 @@ class TypeRegistry:
         """df, if its columns are those of the type (order and nullability aside); else TypeError."""
         if name is None or name not in self._types or self._types[name].schema is None:
             return df
-        want = {f.name: f.dataType for f in self._types[name].schema.fields}
-        have = {f.name: f.dataType for f in df.schema.fields}
+        want = {f.name: f.dataType.simpleString() for f in self._types[name].schema.fields}
+        have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         wrong = {k: (v, have.get(k)) for k, v in want.items() if have.get(k) != v}
         if wrong:
             raise TypeError(f"set isn't of type {name}: " + ", ".join(f"{k} is {b}, not {a}" for k, (a, b) in wrong.items()))

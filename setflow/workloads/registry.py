@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from setflow.workloads import matrices, shapes, tpch
+    from setflow.workloads import learning, matrices, nested, shapes, tpch
 
-    return [tpch, shapes, matrices]
+    return [tpch, shapes, matrices, nested, learning]
 
 
 def queries() -> dict[str, Query]:
