@@ -18,9 +18,16 @@ Method = Callable[..., Column]
 @dataclass
 class ElementType:
     name: str
-    schema: T.StructType | None = None
+    declared: T.StructType | str | None = None
     methods: dict[str, Method] = field(default_factory=dict)
 
+    @property
+    def schema(self) -> T.StructType | None:
+        """Parsed when first asked for: text needs a session."""
+        if isinstance(self.declared, str):
+            self.declared = T.StructType.fromDDL(self.declared)
+        return self.declared
+
 
 class TypeRegistry:
     """Element types by name. A method takes a row, whose fields are columns by name, and returns a Column."""
@@ -29,12 +36,12 @@ class TypeRegistry:
         self._types: dict[str, ElementType] = {}
 
     def register(self, name: str, schema: T.StructType | str | None = None, **methods: Method) -> ElementType:
-        if isinstance(schema, str):
-            schema = T.StructType.fromDDL(schema)
-        if name in self._types and schema is not None and self._types[name].schema not in (None, schema):
-            raise TypeError(f"type {name} is already registered with another schema")
         own = self._types.setdefault(name, ElementType(name))
-        own.schema = schema if schema is not None else own.schema
+        if schema is not None and own.declared is not None and own.declared != schema:
+            schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            if own.schema != schema:
+                raise TypeError(f"type {name} is already registered with another schema")
+        own.declared = schema if schema is not None else own.declared
         own.methods.update(methods)
         return own
 
