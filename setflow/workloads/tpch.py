@@ -18,6 +18,11 @@ from setflow.sources.catalog import SetStore
 DB = "tpch"
 
 
+def day(text: str):
+    """A typed literal, so that comparisons with it reach the scan."""
+    return F.lit(text).cast("timestamp")
+
+
 def store(spark: SparkSession, sf_dir: str) -> SetStore:
     return SetStore(spark).attach(DB, sf_dir)
 
@@ -65,8 +70,8 @@ def q02(region: str = "EUROPE", size: int = 15, type_suffix: str = "SMALL") -> C
 def q03(segment: str = "BUILDING", date: str = "1998-03-15") -> Computation:
     """Revenue of orders not yet shipped; all orders, not the ten best."""
     customer = Select(scan("customer"), where=lambda c: c["c_mktsegment"] == segment)
-    orders = Select(scan("orders"), where=lambda o: o["o_orderdate"].apply(as_iso) < date)
-    lines = Select(scan("lineitem"), where=lambda l: l["l_shipdate"].apply(as_iso) > date)
+    orders = Select(scan("orders"), where=lambda o: o["o_orderdate"] < day(date))
+    lines = Select(scan("lineitem"), where=lambda l: l["l_shipdate"] > day(date))
     joined = Join(
         customer,
         orders,
@@ -79,20 +84,20 @@ def q03(segment: str = "BUILDING", date: str = "1998-03-15") -> Computation:
 
 def q04(start: str = "1997-07-01", end: str = "1997-10-01") -> Computation:
     """Order lines by priority: each line counts, not each order."""
-    orders = Select(scan("orders"), where=lambda o: o["o_orderdate"].apply(as_iso).apply(lambda d: (d >= start) & (d < end)))
+    orders = Select(scan("orders"), where=lambda o: (o["o_orderdate"] >= day(start)) & (o["o_orderdate"] < day(end)))
     joined = Join(orders, scan("lineitem"), where=lambda o, l: o["o_orderkey"] == l["l_orderkey"], fields=lambda o, l: {"o_orderpriority": o["o_orderpriority"]})
     return Aggregate(joined, lambda j: {"o_orderpriority": j["o_orderpriority"]}, lambda j: {"order_count": count_of()})
 
 
 def q06(start: str = "1997-01-01", end: str = "1998-10-01", low: float = 0.05, high: float = 0.07, quantity: float = 24.0) -> Computation:
     """Revenue of discounted lines over a window of 21 months; no row without a line."""
-    lines = Select(scan("lineitem"), where=lambda l: (l["l_shipdate"].apply(as_iso) >= start) & (l["l_shipdate"].apply(as_iso) < end) & (l["l_discount"] >= low) & (l["l_discount"] <= high) & (l["l_quantity"] < quantity))
+    lines = Select(scan("lineitem"), where=lambda l: (l["l_shipdate"] >= day(start)) & (l["l_shipdate"] < day(end)) & (l["l_discount"] >= low) & (l["l_discount"] <= high) & (l["l_quantity"] < quantity))
     return Aggregate(lines, None, lambda l: {"revenue": exact_sum_of(l["l_extendedprice"] * l["l_discount"])})
 
 
 def q12(start: str = "1997-01-01", end: str = "1998-01-01", modes: tuple[str, ...] = ("A", "R")) -> Computation:
     """High and low priority lines by mode; the return flag stands for the ship mode."""
-    lines = Select(scan("lineitem"), where=lambda l: l["l_returnflag"].isin(*modes) & (l["l_shipdate"].apply(as_iso) >= start) & (l["l_shipdate"].apply(as_iso) < end))
+    lines = Select(scan("lineitem"), where=lambda l: l["l_returnflag"].isin(*modes) & (l["l_shipdate"] >= day(start)) & (l["l_shipdate"] < day(end)))
     joined = Join(scan("orders"), lines, where=lambda o, l: o["o_orderkey"] == l["l_orderkey"], fields=lambda o, l: {"mode": l["l_returnflag"], "high": o["o_orderpriority"].isin("1-URGENT", "2-HIGH")})
 
     def count_if(flag) -> Fold:
@@ -111,7 +116,7 @@ def q13(prefix: str = "1") -> Computation:
 
 def q14(start: str = "1997-09-01", end: str = "1997-10-01") -> Computation:
     """Share of promotion revenue."""
-    lines = Select(scan("lineitem"), where=lambda l: (l["l_shipdate"].apply(as_iso) >= start) & (l["l_shipdate"].apply(as_iso) < end))
+    lines = Select(scan("lineitem"), where=lambda l: (l["l_shipdate"] >= day(start)) & (l["l_shipdate"] < day(end)))
     joined = Join(
         lines, scan("part"), where=lambda l, p: l["l_partkey"] == p["p_partkey"], fields=lambda l, p: {"price": l["l_extendedprice"] * (1 - l["l_discount"]), "promo": p["p_type"].apply(lambda t: F.startswith(t, F.lit("PROMO")))}
     )
@@ -154,7 +159,7 @@ def q04_spec(start: str = "1997-07-01", end: str = "1997-10-01"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = store(spark, sf_dir)
         orders, lines = own.read(DB, "orders"), own.read(DB, "lineitem")
-        held = orders.where((as_iso(F.col("o_orderdate")) >= start) & (as_iso(F.col("o_orderdate")) < end))
+        held = orders.where((F.col("o_orderdate") >= day(start)) & (F.col("o_orderdate") < day(end)))
         return held.join(lines, held["o_orderkey"] == lines["l_orderkey"], "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("order_count"))
 
     return run
@@ -209,7 +214,7 @@ ORACLE = {
       SELECT o.* FROM o JOIN (SELECT p_partkey, min(ps_supplycost) AS m FROM o GROUP BY 1) x ON o.p_partkey = x.p_partkey AND o.ps_supplycost = x.m""",
     "q03": f"""SELECT o_orderkey, {D('o_orderdate')} AS o_orderdate, o_orderpriority, {S('l_extendedprice * (1 - l_discount)')} AS revenue
       FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
-      WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND {D('l_shipdate')} > '1998-03-15' GROUP BY 1, 2, 3""",
+      WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15' GROUP BY 1, 2, 3""",
     "q04": f"""SELECT o_orderpriority, count(*) AS order_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey
       WHERE {D('o_orderdate')} >= '1997-07-01' AND {D('o_orderdate')} < '1997-10-01' GROUP BY 1""",
     "q06": f"""SELECT {S('l_extendedprice * l_discount')} AS revenue FROM lineitem
