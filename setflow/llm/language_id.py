@@ -48,23 +48,23 @@ _letters: np.ndarray | None = None
 
 
 def letter_table() -> np.ndarray:
-    """For each code point: is it a letter or a mark within words?"""
+    """For each code point: 2 for a letter, 1 for a mark within words, else 0."""
     global _letters
     if _letters is None:
         import unicodedata
 
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        _letters = np.fromiter(("ML".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)), np.uint8, 0x110000)
     return _letters
 
 
 def symbols(text: str) -> np.ndarray:
-    """Code points of letters in lower case; runs of others are one 1; the text is enclosed in 1s. Empty without letters."""
+    """Code points of letters in lower case and of marks; runs of others are one 1; the text is enclosed in 1s. Empty without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = letter_table()[points]
-    if not letter.any():
+    kind = letter_table()[points]
+    if not (kind == 2).any():
         return np.empty(0, _U)
     out = np.ones(len(points) + 2, np.uint32)
-    out[1:-1] = np.where(letter, points, 1)
+    out[1:-1] = np.where(kind > 0, points, 1)
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 1) | (out[:-1] != 1)
     return (out[keep] & np.uint32(0xFFFF)).astype(_U)

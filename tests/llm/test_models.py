@@ -42,6 +42,9 @@ def test_language_id_edges(spark):
     model = language_id.fit(frame(spark))
     assert language_id.identify(frame(spark), model).count() == len(rows())
     assert language_id.identify(empty(spark), model).count() == 0
+    for text in ("\u2764\ufe0f 12", "\u0301", "7 \u20e3", "", "\n"):  # marks alone are no letters
+        assert not len(language_id.symbols(text))
+    assert len(language_id.symbols("e\u0301")) == 4
 
 
 def test_kneser_ney_against_direct_sums(spark):
