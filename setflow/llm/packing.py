@@ -20,6 +20,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,18 +70,25 @@ class Memo:
             slot[left] = (slot[left] + 1) & (self.slots - 1)
         return out
 
-    def add(self, key: int, ids: list[int]) -> None:
-        if self.n == len(self.offset):
-            self.offset, self.length = np.resize(self.offset, 2 * self.n), np.resize(self.length, 2 * self.n)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.offset[self.n], self.length[self.n] = self.used, len(ids)
-        slot = (key >> 20) & (self.slots - 1)
-        while self.keys[slot]:
-            slot = (slot + 1) & (self.slots - 1)
-        self.keys[slot], self.place[slot] = key, self.n
-        self.n, self.used = self.n + 1, self.used + len(ids)
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Units of distinct keys that are not there yet."""
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, used = self.n + len(ids), self.used + int(lengths.sum())
+        if n > len(self.offset):
+            self.offset, self.length = np.resize(self.offset, C.next_pow2(n)), np.resize(self.length, C.next_pow2(n))
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, C.next_pow2(used))
+        self.ids[self.used : used] = np.fromiter(chain.from_iterable(ids), np.uint32, used - self.used)
+        self.offset[self.n : n], self.length[self.n : n] = self.used + np.cumsum(lengths) - lengths, lengths
+        slot = (keys >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
+        left = np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == 0
+            self.keys[at[free]], self.place[at[free]] = keys[left[free]], self.n + left[free]
+            left = left[self.keys[at] != keys[left]]  # of several at one free slot the last one stays
+            slot[left] = (slot[left] + 1) & (self.slots - 1)
+        self.n, self.used = n, used
 
 
 class Encoder:
@@ -100,13 +108,14 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.memo = Memo(most)
+        self.gaps: dict[tuple[bytes, bool], int] = {}
 
     def encode(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def unit(self, data: bytes) -> list[int]:
         text = data.decode()
-        return self.fast(text) if self.fast and _LATIN.fullmatch(text) else self.encode(text)
+        return self.fast(text) if self.fast and (text.isascii() or _LATIN.fullmatch(text)) else self.encode(text)
 
     def group(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each of several texts without white space beyond ASCII."""
@@ -142,13 +151,10 @@ class Encoder:
                 new, one = np.unique(keys[lost], return_index=True)
                 if len(new) > self.memo.most:
                     self.memo = Memo(2 * len(new))
-            for key, j in zip(new.tolist(), lost[one].tolist()):
-                if key in spans:
-                    ids = [i for part in spans[key] for i in self.unit(part)]
-                else:
-                    k = int(np.searchsorted(at, j, side="right")) - 1
-                    ids = self.unit(data[starts[k] - spaced[k] : ends[k]].tobytes())
-                self.memo.add(key, ids)
+            word = np.searchsorted(at, lost[one], side="right") - 1
+            low, high = ((starts - spaced)[word].tolist(), ends[word].tolist()) if n else ([0] * len(new),) * 2
+            raw = data.tobytes()
+            self.memo.add(new, [self.unit(raw[s:e]) if key not in spans else [i for part in spans[key] for i in self.unit(part)] for key, s, e in zip(new.tolist(), low, high)])
             units = self.memo.find(keys)
         lengths = self.memo.length[units]
         total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
@@ -159,7 +165,13 @@ class Encoder:
     def _gap(self, gap: bytes, whole: bool, spans: dict) -> int:
         """The key of white space. Before a word its last character stands alone, unless that is a space, which went to the word."""
         whole |= len(gap) == 1
-        key = int(C.mix(np.array([hash((gap, whole)) & C.MASK], np.uint64) ^ _GAP)[0]) or 1
+        key = self.gaps.get((gap, whole))
+        if key is None:
+            key = int(C.mix(np.array([hash((gap, whole)) & C.MASK], np.uint64) ^ _GAP)[0]) or 1
+            if len(gap) <= 64:
+                if len(self.gaps) >= 1 << 16:
+                    self.gaps.clear()
+                self.gaps[gap, whole] = key
         spans[key] = (gap,) if whole else (gap[:-1], gap[-1:])
         return key
 
