@@ -78,6 +78,24 @@ def test_kneser_ney_against_direct_sums(spark):
     assert np.allclose(got, [p(g, 2) for g in some], rtol=1e-5)
 
 
+def test_language_model_keeps_every_gram(spark):
+    """Probabilities don't depend on the size of a shard, however few entries it has; nor do verdicts."""
+    data = [(t, x) for _, t, x, *_ in two_languages(60)]
+    df = spark.createDataFrame(data, "text string, lang string")
+    one, many = language_id.train(df), language_id.train(df, table=256)
+    some = np.unique(np.concatenate([language_id.grams(language_id.symbols(t), language_id.ORDER) for t, _ in data]))
+    assert len(some) > 256
+    assert np.allclose(one.log_p(some), many.log_p(some), rtol=1e-6)
+    # over all symbols seen, the probabilities after a context sum to one, less the share of unseen symbols
+    symbols = np.unique(some & np.uint64(0xFFFF))
+    for context in some[::50] >> np.uint64(16) << np.uint64(16):
+        total = np.exp(many.log_p(context | symbols).astype(float)).sum(axis=0)
+        assert (total <= 1 + 1e-4).all() and (total > 0.5).all()
+    docs = frame(spark, two_languages(200))
+    verdicts = [{r["doc_id"]: (r["lang_pred"], round(r["score"], 4), round(r["cross_entropy"], 4), r["rejected"]) for r in language_id.identify(docs, language_id.fit(docs, table=t)).collect()} for t in (1 << 23, 512)]
+    assert verdicts[0] == verdicts[1] and len(verdicts[0]) == 200
+
+
 def test_gram_keys():
     s = language_id.symbols("Ab 1c")
     assert s.tolist() == [1, 97, 98, 1, 99, 1]
