@@ -1,33 +1,38 @@
 """Document fingerprints: order MinHash, whose likeness follows edit distance rather than sets.
 
-Method (DataFrame functions only). A text's k-mers are its runs of K words (shorter at its end, so n words give n k-mers);
+Method. A text's k-mers are its runs of CHARS code points (shorter at its end, so n code points give n k-mers);
 equal k-mers are numbered by occurrence. Each numbered k-mer is hashed once; the hash names one of BINS bins and a
 rank in it. In each bin the PICK k-mers of least rank are put back into text order, and the hash of that tuple is the
 bin's part of the signature. A bin matches another text's only if the same k-mers occur in the same order. (One
 hash split into bins stands for as many permutations.) Likeness is the share of matching bins among those that are
-filled in either text; two texts without words are alike.
+filled in either text; two empty texts are alike.
 
-Words, not characters, are the symbols: a built-in expression visits each k-mer about ten times, which over characters
-takes six times the CPU.
+Signatures are made with numpy. `fingerprints` is a coarser form of DataFrame functions only, over runs of K words; the query
+doesn't use it.
 
 The next document. Documents are dealt to ranges of keys, cut at approximate quantiles, and ordered within a range; only the
 first document of each range is looked up from the range before. Rows of equal keys follow in the order of their texts;
 null keys come first.
 
 Defined cases: a null text is empty and has an empty signature; a single document is its own next; equal texts have equal
-fingerprints, whatever their keys; positions count modulo 2**26 words, beyond which only the order within a tuple can
+fingerprints, whatever their keys; positions count modulo 2**26, beyond which only the order within a tuple can
 change; an empty table gives an empty result; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setflow.llm import common as C
 
+CHARS = 5
 K = 2
 BINS_LOG2 = 6
 POSITION_BITS = 26
@@ -115,8 +120,8 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return let(first, lambda c: c + F.size(F.filter(F.slice(every, c + 1, step), lambda b: b < key)))
 
 
-def with_next(df: DataFrame, text: str, key: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """df with __sf_key, __sf_text and __sf_range; and for each range (__sf_of) the first text of the next, with its signature."""
+def with_next(df: DataFrame, text: str, key: str, range_bytes: int = RANGE_BYTES, signed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """df with __sf_key, __sf_text and __sf_range; and for each range (__sf_of) the first text of the next, with its signature over words if wanted."""
     own = df.withColumns({"__sf_key": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), "__sf_text": F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))})
     n = max(1, -(-C.text_bytes(df, text) // range_bytes))
     ids = own.select("__sf_key")
@@ -127,7 +132,7 @@ def with_next(df: DataFrame, text: str, key: str, range_bytes: int = RANGE_BYTES
     order = Window.orderBy("__sf_range")
     following = firsts.select("__sf_range", F.coalesce(F.lead("first").over(order), F.min("first").over(Window.partitionBy(F.lit(0)))).alias("first"))
     texts = own.join(firsts.select("first"), F.col("__sf_key") == F.col("first"), "left_semi").groupBy("__sf_key").agg(F.min("__sf_text").alias("__sf_first_text"))
-    looked_up = following.join(texts, F.col("first") == F.col("__sf_key")).select(F.col("__sf_range").alias("__sf_of"), "__sf_first_text", signature(F.col("__sf_first_text")).alias("__sf_first_sig"))
+    looked_up = following.join(texts, F.col("first") == F.col("__sf_key")).select(F.col("__sf_range").alias("__sf_of"), "__sf_first_text", *([signature(F.col("__sf_first_text")).alias("__sf_first_sig")] if signed else []))
     return dealt, C.materialise(looked_up)
 
 
@@ -156,8 +161,89 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", range_b
     return out.drop("__sf_key", "__sf_text", "__sf_range", "__sf_of", "__sf_first_sig", "__sf_sig", "__sf_edited_sig", "__sf_after")
 
 
+# --- over characters ------------------------------------------------------------------------------
+
+_U = np.uint64
+_ODD = np.array([0x9E6C63D0876A9A35, 0xB17A4F2C91D3E585, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], _U)
+_LOW = _U((1 << POSITION_BITS) - 1)
+_POSITION, _BIN = _U(POSITION_BITS), _U(64 - BINS_LOG2)
+
+
+def character_signature(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin the hash of its tuple below the bin's number, and whether the bin is filled."""
+    out, filled = np.zeros(1 << BINS_LOG2, _U), np.zeros(1 << BINS_LOG2, bool)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(points)
+    if not n:
+        return out, filled
+    padded = np.zeros(n + CHARS - 1, _U)  # 0 stands after the text
+    padded[:n] = points
+    padded[:n] += _U(1)
+    kmer = padded[:n] * _ODD[0]
+    for j in range(1, CHARS):
+        kmer += padded[j : j + n] * _ODD[j]
+    place = np.arange(n)
+    x = C.mix(kmer) & ~_LOW | place.astype(_U) & _LOW
+    x.sort()
+    group = x >> _POSITION
+    new = np.ones(n, bool)
+    new[1:] = group[1:] != group[:-1]
+    occurrence = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(_U)
+    r = C.mix(group * _ODD[1] + occurrence * _ODD[2] + _ODD[3]) & ~_LOW | x & _LOW
+    r.sort()
+    bins = (r >> _BIN).astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+    both = np.diff(np.append(head, n)) > 1
+    a, b = r[head], r[np.minimum(head + 1, n - 1)]
+    turn = both & ((a & _LOW) > (b & _LOW))
+    first, second = np.where(turn, b, a) >> _POSITION, np.where(turn, a, b) >> _POSITION
+    pair = C.mix(C.mix(first * _ODD[4] + _ODD[0]) + np.where(both, second * _ODD[3] + _ODD[2], _U(0)))
+    out[bins[head]], filled[bins[head]] = (r[head] >> _BIN << _BIN) | (pair >> _U(BINS_LOG2)), True
+    return out, filled
+
+
+def character_likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    n = np.count_nonzero(a[1] | b[1])
+    return np.count_nonzero((a[0] == b[0]) & a[1] & b[1]) / n if n else 1.0
+
+
+def signer(names: list[str], text: str, following: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, tuple] = ("", character_signature(""))  # mostly a row's following text is the next row's own
+        for batch in batches:
+            out: list[list] = [[] for _ in OUT]
+            for own, after in zip(batch[text].to_pylist(), batch[following].to_pylist()):
+                half = len(own) // 2
+                edited = own[: len(own) - half] + after[:half]
+                sig = last[1] if last[0] == own else character_signature(own)
+                changed = sig if edited == own else character_signature(edited)
+                last = (after, sig if after == own else character_signature(after))
+                row = (len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *(x[0][x[1]].astype(">u8").tobytes().hex() for x in (sig, changed)), character_likeness(sig, changed), character_likeness(sig, last[1]))
+                for column, value in zip(out, row):
+                    column.append(value)
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *(pa.array(v, t) for v, t in zip(out, kinds))], names=[*names, *OUT])
+        C.release()
+
+    return run
+
+
+def character_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = RANGE_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of df with n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
+    C.bounded_batches(df.sparkSession)
+    own = C.without(df, *OUT)
+    names = [n for n in (keep if keep is not None else own.columns) if n in own.columns]
+    dealt, firsts = with_next(own, text, key, range_bytes, signed=False)
+    order = Window.partitionBy("__sf_range").orderBy("__sf_key", "__sf_text")
+    led = dealt.withColumn("__sf_lead", F.lead("__sf_text").over(order)).join(firsts, F.col("__sf_range") == F.col("__sf_of"))
+    both = led.select(*[F.col(f"`{n}`") for n in names], "__sf_text", F.coalesce("__sf_lead", "__sf_first_text").alias("__sf_following"))
+    kinds = (T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*both.schema.fields[: len(names)], *(T.StructField(n, t) for n, t in zip(OUT, kinds))])
+    return both.mapInArrow(signer(names, "__sf_text", "__sf_following"), schema)
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(C.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *OUT)
+    return character_fingerprints(C.documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
 
 
 QUERIES = {"op10_order_minhash": op10_order_minhash}

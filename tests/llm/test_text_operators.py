@@ -297,6 +297,50 @@ def test_order_minhash(spark, range_bytes):
     assert order_minhash.fingerprints(empty(spark)).count() == 0
 
 
+def naive_order(text):
+    """(bin, pair of (k-mer, occurrence) in the order of the text) of each filled bin, with the module's own mixing of single values."""
+    mixed = lambda *v: int(common.mix(np.array([sum(a * int(b) for a, b in zip(v, order_minhash._ODD[1:])) + int(order_minhash._ODD[3]) * (len(v) == 2) & common.MASK], np.uint64))[0])
+    n, by, seen = len(text), collections.defaultdict(list), collections.Counter()
+    for i in range(n):
+        kmer = text[i : i + order_minhash.CHARS]
+        h = sum((ord(c) + 1) * int(o) for c, o in zip(kmer, order_minhash._ODD)) & common.MASK
+        group = int(common.mix(np.array([h], np.uint64))[0]) >> 26
+        rank = mixed(group, seen[kmer])
+        by[rank >> 58].append((rank >> 26, i, kmer, seen[kmer]))
+        seen[kmer] += 1
+    return {b: tuple(x[2:] for x in sorted(sorted(v)[:2], key=lambda x: x[1])) for b, v in by.items()}
+
+
+@pytest.mark.parametrize("range_bytes", [8 << 20, 3000])
+def test_order_minhash_of_characters(spark, range_bytes):
+    got = order_minhash.character_fingerprints(frame(spark).drop("n_chars"), range_bytes=range_bytes).collect()
+    data = sorted(((r[0] if r[0] is not None else -(1 << 63), r[1] or "") for r in rows()), key=lambda r: (r[0], r[1].encode()))
+    named = {t: naive_order(t) for _, t in data if len(t) < 4000}
+    like = lambda a, b: sum(a.get(k) == v for k, v in b.items()) / len(a.keys() | b.keys()) if a or b else 1.0
+    want = collections.Counter()
+    for k, (i, text) in enumerate(data):
+        after = data[(k + 1) % len(data)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        if max(len(text), len(after)) < 4000:
+            want[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), like(named[text], naive_order(edited)), like(named[text], named[after])] += 1
+    names = ("n_chars", "edited_sha256", "near_edited", "near_next")
+    found = collections.Counter((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), *(r[n] for n in names)) for r in got)
+    assert len(got) == len(data) and not want - found
+    assert order_minhash.character_fingerprints(empty(spark)).count() == 0
+
+
+def test_order_minhash_without_white_space(spark, tmp_path):
+    """One changed character of a text without white space leaves most of its fingerprint; so do typos in every second word."""
+    chinese = "".join(chr(0x4E00 + (i * i * 7919 + i * 31) % 5000) for i in range(400))
+    words = [f"word{i * 37 % 101}example" for i in range(200)]
+    typos = " ".join(w[:6] + "#" + w[7:] if i % 2 else w for i, w in enumerate(words))
+    data = [(0, chinese), (1, chinese[:200] + "x" + chinese[201:]), (2, " ".join(words)), (3, typos)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in order_minhash.op10_order_minhash(spark, str(tmp_path)).collect()}
+    assert 0.8 < got[0]["near_next"] < 1 and got[0]["near_edited"] > 0 and got[2]["near_next"] > 0.2 and got[1]["near_next"] < 0.1
+
+
 def test_packed_sets():
     values = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1))
     assert (common.unpack(common.pack(values)) == values).all()
