@@ -65,6 +65,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table of materialise() that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _tables:

@@ -4,7 +4,8 @@ Method (DataFrame functions only). Links in html become edges between hosts, sum
 links to itself carry nothing. A host is a trusted seed if rules allow over half of its pages, and a blocked seed if they
 block over half. Trust is personalised PageRank from the trusted seeds along the edges; distrust is the same from the
 blocked seeds against the edges: a host that links to blocked hosts takes distrust. A host is blocked where its distrust
-is above its trust. Every round joins the edges with scores and sums by host.
+is above its trust. Every round joins the edges with what the last one moved and sums by host; rounds go on until no new
+host is reached and what is still to move is below TOLERANCE of all mass.
 
 A rule `host/path` fits its host and all subdomains if the url's path starts with /path; the longest that fits decides.
 Rules are a list in the program, so they are tested in one expression.
@@ -25,7 +26,10 @@ from setflow.llm import common as C
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 DAMPING = 0.85
+#: Rounds of the SQL form, which can't stop by itself.
 ROUNDS = 10
+#: Mass that may be left to move when rounds end.
+TOLERANCE = 1e-9
 OUT = ("host", "path", "rule", "verdict")
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,17 +62,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return named.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): personalised PageRank from seeds (host, mass; the masses sum to 1) over edges (src, dst, share)."""
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, score): personalised PageRank from seeds (host, mass; the masses sum to 1) over edges (src, dst, share); without a number of rounds until it has converged."""
     base = seeds.select("host", ((1 - damping) * F.col("mass")).alias("score"))
     now = base
-    for _ in range(rounds):
-        moved = edges.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        now = C.materialise(base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")))
-    return now
-
-
-def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    if rounds is not None:
+        for _ in range(rounds):
+            moved = edges.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+            now = C.materialise(base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")))
+        return now
+    # `step` is what a walk of one more link brings; score is the sum of all steps
+    now = C.materialise(base.select("host", "score", F.col("score").alias("step")))
+    reached = now.count()
+    while True:
+        moved = edges.join(now.where("step > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), F.lit(0.0).alias("score"), (damping * F.col("step") * F.col("share")).alias("step"))
+        kept = now.select("host", "score", F.lit(0.0).alias("step"))
+        summed = kept.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"), F.sum("step").alias("step"))
+        before, now = now, C.materialise(summed.select("host", (F.col("score") + F.col("step")).alias("score"), "step"))
+        C.discard(before)
+        n, change = now.agg(F.count(F.lit(1)), F.coalesce(F.sum("step"), F.lit(0.0))).first()
+        # later steps add up to at most change * damping / (1 - damping)
+        if n == reached and change * damping <= tolerance * (1 - damping):
+            return now.select("host", "score")
+        reached = n
+
+
+def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, host_verdict) of the hosts that are blocked; pages: (host, html, ruled)."""
     counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
     counts = C.materialise(counts.where("host != ''"))
@@ -89,7 +108,7 @@ def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUN
     return C.materialise(both.where(F.col("distrust") > F.coalesce("trust", F.lit(0.0))).select(F.col("host").alias("__sf_host"), F.lit("block").alias("host_verdict")))
 
 
-def judge(df: DataFrame, url: str = "url", html: str = "html", rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(df: DataFrame, url: str = "url", html: str = "html", rules=RULES, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """df with host, path, rule and verdict."""
     address = F.col(f"`{url}`")
     named = C.without(df, *OUT).withColumns({"host": host_of(address), "path": path_of(address)})

@@ -230,6 +230,23 @@ def test_page_rank_against_power_iteration(spark):
     assert np.allclose([got[n] for n in names], x)
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    """Hosts h1 <- h2 <- ... <- h14 link one to the next, h1 to a blocked one; scores agree with the solution of the linear system."""
+    n = 14
+    pages = [(0, "http://evil.net/fr/", None), (1, "http://h1.org/", '<a href="http://evil.net/">')]
+    pages += [(k, f"http://h{k}.org/", f'<a href="http://h{k - 1}.org/">') for k in range(2, n + 1)]
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {"evil.net": "block"} | {f"h{k}.org": "block" for k in range(1, n + 1)}
+    edges = [(str(k), str((k + 1) % n), 0.75) for k in range(n)] + [(str(k), str(k * k % n), 0.25) for k in range(n)]
+    m = np.zeros((n, n))
+    for s, d, w in edges:
+        m[int(d), int(s)] += w
+    want = np.linalg.solve(np.eye(n) - 0.85 * m, np.eye(n)[0] * 0.15)
+    seeds = spark.createDataFrame([("0", 1.0)], "host string, mass double")
+    found = {int(r["host"]): r["score"] for r in url_filter.spread(seeds, spark.createDataFrame(edges, "src string, dst string, share double"), rounds=None, tolerance=1e-4).collect()}
+    assert np.abs(np.array([found[k] for k in range(n)]) - want).sum() < 1e-4
+
+
 def test_sql_queries(spark, small):
     con = duckdb.connect()
     for t in ("documents", "pages"):
