@@ -1,24 +1,38 @@
-"""The matrix operations over the embeddings: 64 columns, rows in blocks of ROWS."""
+"""The matrix operations over the embeddings: 64 columns, all rows, in equal blocks of at most ROWS."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from setflow.la.language import Program
 from setflow.la.matrix import Matrix, Shape
+from setflow.workloads.shared import keeper
 
 ROWS, COLS, WIDTH = 50, 16, 64
 
 
+def row_numbers(df: DataFrame) -> DataFrame:
+    """(i, embedding): rows numbered from 0 in the order of vec_id; one number for each range meets in a single task."""
+    order = ("vec_id", "embedding")
+    dealt = df.select(*order).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt = keeper(df.sparkSession)(dealt.withColumn("part", F.spark_partition_id()))
+    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("place", place).join(before, "part").select((F.col("place") + F.col("before")).alias("i"), "embedding")
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> Matrix:
-    """Whole numbers, so that sums are exact: thousandths of the embeddings, of all rows whose blocks are full."""
+    """Whole numbers, so that sums are exact: thousandths of the embeddings. Blocks have as many rows as divide the number of all."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    n = df.count() // ROWS * ROWS
-    cells = df.where(F.col("vec_id") < n).select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", "j", F.round(F.col("v").cast("double") * 1000).alias("v"))
-    return Matrix.from_cells(cells, Shape(ROWS, COLS, n // ROWS, WIDTH // COLS))
+    n, distinct, least, most = df.agg(F.count(F.lit(1)), F.count_distinct("vec_id"), F.min("vec_id"), F.max("vec_id")).first()
+    dense = n == 0 or (distinct, least, most) == (n, 0, n - 1)
+    numbered = df.select(F.col("vec_id").alias("i"), "embedding") if dense else row_numbers(df)
+    rows = max(r for r in range(1, ROWS + 1) if n % r == 0)
+    cells = numbered.select("i", F.posexplode("embedding").alias("j", "v")).select("i", "j", F.round(F.col("v").cast("double") * 1000).alias("v"))
+    return Matrix.from_cells(cells, Shape(rows, COLS, n // rows, WIDTH // COLS))
 
 
 def program(text: str, cells: bool = True) -> Callable[[SparkSession, str], DataFrame]:

@@ -238,3 +238,18 @@ def test_native_terms_and_exact_sums(store):
 def test_supervisors(spark):
     df = nested.supervisors(spark, 3)
     assert df.select(F.size("myGuys"), "me.department").collect()[1] == (10, "BCDE")
+
+
+@pytest.mark.parametrize("n", [53, 116])
+def test_matrices_have_every_row(spark, tmp_path, n):
+    """Row numbers that fill no whole blocks, and ids with gaps that don't start at 0."""
+    from setflow.workloads import matrices
+
+    a = np.random.default_rng(n).integers(-900, 900, (n, 64)).astype(float)
+    data = [(7 + 3 * i, (a[i] / 1000).tolist()) for i in range(n)]
+    spark.createDataFrame(data[::-1], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {q: {(r["i"], r["j"]): r["v"] for r in matrices.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("la_row_sum", "la_tmul_gram", "la_transpose")}
+    for q, want in (("la_row_sum", a.sum(axis=1)[:, None]), ("la_tmul_gram", a.T @ a), ("la_transpose", a.T)):
+        assert got[q] == {(i, j): v for i, row in enumerate(want.tolist()) for j, v in enumerate(row)}, q
+    best = matrices.QUERIES["la_max_elem"](spark, str(tmp_path)).collect()
+    assert best[0]["v"] == a.max() and (best[0]["row"], best[0]["col"]) == divmod(int(a.argmax()), 64)
