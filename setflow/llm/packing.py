@@ -1,22 +1,24 @@
 """Packing: documents as token ids, packed into sequences of `window` tokens by best-fit decreasing.
 
 Method. A document's ids and its end id are cut into full windows and one remainder. Full windows are sequences
-of their own. Remainders are dealt to shards by hash; in a shard they are taken longest first, and a segment
-tree over remaining capacities (1 to window) finds the open sequence that they fill most tightly. Each shard is
-packed on its own: only its last few sequences stay loose. A last loose sequence is not split: it is padded,
-except where its length is a power of two.
-
-Tokens. White space and words are tokenised once and remembered by a 64-bit hash: byte-level BPE never merges over
-the places where this module cuts. Units of Latin letters go through tiktoken over the same ranks, where both
-libraries agree; all others, and whole texts with white space beyond ASCII, through tokenizers.
-
-Defined cases: a null text is empty and packs as its end id alone; repeated rows are packed as often as they occur; an
-empty table gives an empty result; other columns are not read.
+of their own and are never shuffled. Remainders are dealt to shards by their place in the table of pieces; in a shard
+they are taken longest first, and a segment tree over remaining capacities (1 to window) finds the open sequence that they
+fill most tightly. Each shard is packed on its own: only its last few sequences stay loose. A last loose sequence is
+not split: it is padded, except where its length is a power of two.
+
+Tokens. All ids come from `tokenizers`. White space and words are tokenised once and remembered by their bytes, since
+byte-level BPE never merges over the places where this module cuts; texts with white space beyond ASCII are
+tokenised whole. Special tokens of the file (added tokens) stand for themselves: texts are cut around them first.
+
+Defined cases: a null or empty text packs as its end id alone; a text of any length is cut into windows, tokenised slice
+by slice in one task; the strings of special tokens become their ids, as the tokenizer does by itself; pieces of equal
+length are taken in the order of the table of pieces; repeated rows and keys are packed as often as they occur; a null
+key stays null, and keys keep their type; an empty table gives an empty result; other columns are not read, so they can't
+clash.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setflow.llm import common as C
 
@@ -36,89 +39,93 @@ SHARD_PIECES = 50_000
 MEMORY = 1 << 19
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_LATIN = re.compile("[\x00-ɏ]*")
-_GAP = np.uint64(0xC2B2AE3D27D4EB4F)
-_SPACED = np.uint64(0x165667B19E3779F9)
+
+_JOINT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+
+
+def slices(text: str, most: int = C.SLICE) -> Iterator[str]:
+    """A text cut before words that follow a single space; no token spans such a place."""
+    a = 0
+    while a < len(text):
+        joint = _JOINT.search(text, a + most)
+        b = joint.start() if joint else len(text)
+        yield text[a:b]
+        a = b
 
 
 class Memo:
-    """Token ids of units by their hash: an open-addressing table in numpy arrays."""
+    """Token ids of units, in numpy arrays; unit 0 has none."""
 
     def __init__(self, most: int):
         self.most = most
-        self.slots = C.next_pow2(2 * most + 2)
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)  # 0: free
-        self.place = np.zeros(self.slots, np.int32)
+        self.words: dict[bytes, int] = {}
+        self.gaps: dict[tuple[bytes, bool], int] = {}
         self.offset = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int32)
+        self.length = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.n, self.used = 1, 0  # unit 0 has no ids
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The unit of each key, -1 where there is none; key 0 is unit 0."""
-        slot = (keys >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
-        out = np.where(keys == 0, 0, -1).astype(np.int32)
-        left = np.flatnonzero(keys)
-        while len(left):
-            there = self.keys[slot[left]]
-            hit = there == keys[left]
-            out[left[hit]] = self.place[slot[left[hit]]]
-            left = left[~hit & (there != 0)]
-            slot[left] = (slot[left] + 1) & (self.slots - 1)
-        return out
-
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """Units of distinct keys that are not there yet."""
+        self.n, self.used = 1, 0
+
+    def add(self, ids: list[list[int]]) -> int:
+        """The number of the first of these units."""
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, used = self.n + len(ids), self.used + int(lengths.sum())
+        first, n, used = self.n, self.n + len(ids), self.used + int(lengths.sum())
         if n > len(self.offset):
             self.offset, self.length = np.resize(self.offset, C.next_pow2(n)), np.resize(self.length, C.next_pow2(n))
         if used > len(self.ids):
             self.ids = np.resize(self.ids, C.next_pow2(used))
         self.ids[self.used : used] = np.fromiter(chain.from_iterable(ids), np.uint32, used - self.used)
-        self.offset[self.n : n], self.length[self.n : n] = self.used + np.cumsum(lengths) - lengths, lengths
-        slot = (keys >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
-        left = np.arange(len(keys))
-        while len(left):
-            at = slot[left]
-            free = self.keys[at] == 0
-            self.keys[at[free]], self.place[at[free]] = keys[left[free]], self.n + left[free]
-            left = left[self.keys[at] != keys[left]]  # of several at one free slot the last one stays
-            slot[left] = (slot[left] + 1) & (self.slots - 1)
+        self.offset[first:n], self.length[first:n] = self.used + np.cumsum(lengths) - lengths, lengths
         self.n, self.used = n, used
+        return first
 
 
 class Encoder:
     """Ids of whole texts, equal to encode(text, add_special_tokens=False) of the tokenizer file."""
 
-    def __init__(self, path: str, ranks: str | None, most: int = MEMORY):
+    def __init__(self, path: str, most: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.fast = None
-        if ranks:
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        added = self.whole.get_added_tokens_decoder()
+        #: Added tokens that stand for themselves wherever they occur; texts with others are tokenised whole.
+        self.plain = {t.content: k for k, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        self.odd = [t.content.encode() for k, t in added.items() if t.content not in self.plain]
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.plain, key=len, reverse=True))) + ")") if self.plain else None
         self.memo = Memo(most)
-        self.gaps: dict[tuple[bytes, bool], int] = {}
 
     def encode(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def unit(self, data: bytes) -> list[int]:
-        text = data.decode()
-        return self.fast(text) if self.fast and (text.isascii() or _LATIN.fullmatch(text)) else self.encode(text)
+    def find(self, raw: bytes, low: list[int], high: list[int]) -> np.ndarray:
+        """The unit of each stretch of bytes."""
+        words = self.memo.words
+        parts = [raw[a:b] for a, b in zip(low, high)]
+        units = np.fromiter((words.get(x, -1) for x in parts), np.int64, len(parts))
+        lost = np.flatnonzero(units < 0).tolist()
+        if lost:
+            new = list(dict.fromkeys(parts[k] for k in lost))
+            first = self.memo.add([self.encode(x.decode()) for x in new])
+            words.update(zip(new, range(first, first + len(new))))
+            units[lost] = [words[parts[k]] for k in lost]
+        return units
+
+    def gap(self, gap: bytes, whole: bool) -> int:
+        """The unit of white space. Before a word its last character stands alone, unless that is a space, which went to the word."""
+        whole |= len(gap) == 1
+        unit = self.memo.gaps.get((gap, whole))
+        if unit is None:
+            unit = self.memo.add([[i for part in ((gap,) if whole else (gap[:-1], gap[-1:])) for i in self.encode(part.decode())]])
+            if len(gap) <= 64:
+                self.memo.gaps[gap, whole] = unit
+        return unit
 
     def group(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each of several texts without white space beyond ASCII."""
+        """Ids of each of several texts without white space beyond ASCII and without added tokens."""
+        if self.memo.n > self.memo.most:
+            self.memo.clear()
         starts, ends, counts = C.word_spans(data, offsets)
         n, n_texts = len(starts), len(offsets) - 1
         owner = np.repeat(np.arange(n_texts), np.diff(counts))
@@ -130,89 +137,73 @@ class Encoder:
         spaced = np.zeros(n, bool)
         far = gap > 0
         spaced[far] = data[starts[far] - 1] == 0x20
-        keys = np.zeros(2 * n + n_texts, np.uint64)  # for each word its gap and itself; for each text its last gap
+        raw = data.tobytes()
+        units = np.zeros(2 * n + n_texts, np.int64)  # for each word its gap and itself; for each text its last gap
         at = 2 * np.arange(n) + owner
-        keys[at + 1] = C.word_hashes(data, starts, ends) ^ np.where(spaced, _SPACED, np.uint64(0))
-        spans: dict[int, tuple[bytes, ...]] = {}
+        units[at + 1] = self.find(raw, (starts - spaced).tolist(), ends.tolist())
         for k in np.flatnonzero(gap - spaced > 0).tolist():
-            keys[at[k]] = self._gap(data[before[k] : starts[k] - spaced[k]].tobytes(), bool(spaced[k]), spans)
+            units[at[k]] = self.gap(raw[before[k] : starts[k] - spaced[k]], bool(spaced[k]))
         tails = np.where(counts[1:] > counts[:-1], ends[np.maximum(counts[1:], 1) - 1] if n else offsets[:-1], offsets[:-1])
         for t in np.flatnonzero(tails < offsets[1:]).tolist():
-            keys[2 * counts[t + 1] + t] = self._gap(data[tails[t] : offsets[t + 1]].tobytes(), True, spans)
-        units = self.memo.find(keys)
-        lost = np.flatnonzero(units < 0)
-        if len(lost):
-            new, one = np.unique(keys[lost], return_index=True)
-            if self.memo.n + len(new) > self.memo.most:
-                self.memo.clear()
-                if len(new) > self.memo.most:
-                    self.memo = Memo(2 * len(new))
-                lost = np.flatnonzero(keys)
-                new, one = np.unique(keys[lost], return_index=True)
-                if len(new) > self.memo.most:
-                    self.memo = Memo(2 * len(new))
-            word = np.searchsorted(at, lost[one], side="right") - 1
-            low, high = ((starts - spaced)[word].tolist(), ends[word].tolist()) if n else ([0] * len(new),) * 2
-            raw = data.tobytes()
-            self.memo.add(new, [self.unit(raw[s:e]) if key not in spans else [i for part in spans[key] for i in self.unit(part)] for key, s, e in zip(new.tolist(), low, high)])
-            units = self.memo.find(keys)
+            units[2 * counts[t + 1] + t] = self.gap(raw[tails[t] : offsets[t + 1]], True)
         lengths = self.memo.length[units]
-        total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.memo.ids[np.repeat(self.memo.offset[units] - total[:-1], lengths) + np.arange(total[-1])]
         bounds = total[2 * counts + np.arange(n_texts + 1)]
         return [ids[bounds[t] : bounds[t + 1]] for t in range(n_texts)]
 
-    def _gap(self, gap: bytes, whole: bool, spans: dict) -> int:
-        """The key of white space. Before a word its last character stands alone, unless that is a space, which went to the word."""
-        whole |= len(gap) == 1
-        key = self.gaps.get((gap, whole))
-        if key is None:
-            key = int(C.mix(np.array([hash((gap, whole)) & C.MASK], np.uint64) ^ _GAP)[0]) or 1
-            if len(gap) <= 64:
-                if len(self.gaps) >= 1 << 16:
-                    self.gaps.clear()
-                self.gaps[gap, whole] = key
-        spans[key] = (gap,) if whole else (gap[:-1], gap[-1:])
-        return key
+    def one(self, text: str) -> np.ndarray:
+        """Ids of a text of any kind."""
+        if any(x in text.encode() for x in self.odd):
+            return np.array(self.encode(text), np.uint32)
+        out = [np.empty(0, np.uint32)]
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.plain:
+                out.append(np.array([self.plain[part]], np.uint32))
+                continue
+            for piece in slices(part):
+                if _ODD_SPACE.search(piece):
+                    out.append(np.array(self.encode(piece), np.uint32))
+                else:
+                    own = np.frombuffer(piece.encode(), np.uint8)
+                    out.append(self.group(own, np.array([0, len(own)]))[0])
+        return np.concatenate(out)
 
     def texts(self, texts: C.Texts) -> Iterator[np.ndarray]:
+        marks = [x.encode() for x in self.plain] + self.odd
         for a, b in texts.groups():
             data, offsets = texts.bytes_of(a, b)
-            if _ODD_SPACE.search(data.tobytes().decode()):
+            raw = data.tobytes()
+            if len(raw) > C.SLICE or any(x in raw for x in marks) or _ODD_SPACE.search(raw.decode()):
                 for k in range(a, b):
-                    text = texts[k].decode()
-                    if _ODD_SPACE.search(text):
-                        yield np.array(self.encode(text), np.uint32)
-                    else:
-                        own, bounds = texts.bytes_of(k, k + 1)
-                        yield self.group(own, bounds)[0]
+                    yield self.one(texts[k].decode())
             else:
                 yield from self.group(data, offsets)
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, ranks: str | None) -> Encoder:
-    if (path, ranks) not in _encoders:
-        _encoders[path, ranks] = Encoder(path, ranks)
-    return _encoders[path, ranks]
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = ("start", "length", "ids_crc32", "doc_tokens")
 
 
-def piece_maker(path: str, ranks: str | None, window: int, end_id: int):
+def piece_maker(path: str, window: int, end_id: int, key: str):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path, ranks)
+        tool = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            keys = batch["doc_id"].to_pylist()
-            for key, ids in zip(keys, tool.texts(C.Texts(batch["text"]))):
+            for k, ids in enumerate(tool.texts(C.Texts(batch["__sf_text"]))):
                 raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                 n = len(raw) // 4
-                rows += [(key, s, min(window, n - s), zlib.crc32(raw[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(k, s, min(window, n - s), zlib.crc32(raw[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+            owner, *columns = (pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5))
+            yield pa.RecordBatch.from_arrays([batch[key].take(owner), *columns], names=[key, *PIECE])
         C.release()
 
     return pieces
@@ -274,29 +265,34 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def packer(window: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
+        table = table.sort_by("__sf_place")  # rows arrive in any order
         sequence, offset = best_fit_decreasing(table["length"].to_numpy(), window)
-        shard = table["shard"][0].as_py()
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence * shards + shard)).append_column("offset", pa.array(offset))
+        shard = table["__sf_shard"][0].as_py()
+        return table.drop_columns(["__sf_place", "__sf_shard"]).append_column("sequence_id", pa.array(2 * (sequence * shards + shard))).append_column("offset", pa.array(offset))
 
     return run
 
 
-def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None, ranks: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row for each piece of a document: where it starts in its document, and where it stands in its sequence.
 
-    tokenizer, ranks: files of a byte-level BPE vocabulary, the same on every executor.
+    tokenizer: a file of a byte-level BPE vocabulary, the same on every executor. Full windows have odd sequence_ids.
     """
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     C.bounded_batches(df.sparkSession)
-    own = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    shards = max(1, -(-df.count() // shard_pieces))
-    pieces = own.mapInArrow(piece_maker(tokenizer, ranks, window, end_id), PIECES)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(packer(window, shards), f"{PIECES}, sequence_id long, offset long")
+    own = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__sf_text"))
+    schema = T.StructType([own.schema.fields[0], *(T.StructField(n, T.LongType()) for n in PIECE)])
+    pieces = C.materialise(own.mapInArrow(piece_maker(tokenizer, window, end_id, key), schema))
+    placed = pieces.withColumn("__sf_place", F.monotonically_increasing_id())  # of rows of a table that doesn't change
+    full = placed.where(F.col("length") == window).select(F.col(f"`{key}`"), *PIECE, (2 * F.col("__sf_place") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = placed.where(F.col("length") < window)
+    shards = max(1, -(-pieces.where(F.col("length") < window).count() // shard_pieces))
+    dealt = rest.withColumn("__sf_shard", F.pmod(F.xxhash64("__sf_place"), F.lit(shards)))
+    out = T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return full.unionByName(dealt.groupBy("__sf_shard").applyInArrow(packer(window, shards), out))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
