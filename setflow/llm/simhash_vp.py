@@ -1,30 +1,34 @@
 """SimHash near-dedup: all pairs of 64-bit fingerprints at a small Hamming distance, and their components.
 
-Method. Distinct fingerprints are partitioned by Hamming distance and searched with vantage-point trees.
+Method. Distinct fingerprints are dealt to overlapping shards by Hamming distances and searched with vantage-point trees.
 
-Shards. The distance to any one vantage point concentrates (mean 32, deviation 4) at the scale of the radius 4, so
+Shards. The distance to one vantage point concentrates (mean 32, deviation 4) at the scale of the radius 4, so
 cutting the whole space by it leaves most points within the radius of every boundary. Fingerprints are therefore
-cut by distances within fields of bits: the 64 bits form m fields; two fingerprints at distance 4 or less agree in
-m - 4 fields at least, so in some choice of m - 4 fields they have equal distances to every vantage point there. The
-distances to the zero vector and the unit vectors of a field determine its value, so that value names the shard;
-a fingerprint stands in all C(m, 4) overlapping shards, and every pair meets in one. m grows with the number of
-fingerprints, so that shards stay small.
-
-Trees. In a shard a vantage-point tree over all 64 bits splits by the median distance; a pair over a split needs both
-of its points within the radius of the boundary (triangle inequality), so only those are compared. Every leaf returns
-a tie to its least linked point rather than all pairs. A shard of over SHARD_ROWS points is cut into blocks, and each
-pair of blocks is a shard of its own.
-
-Defined cases: no words (null, empty): fingerprint zero, linked like any other; rows of one key are one node; a
-null key gets its own fingerprint and no component unless its fingerprint has a key; an empty table gives an
-empty result; input columns named like an output column are replaced.
+dealt by distances within fields of bits: the 64 bits form m fields; two fingerprints at distance 4 or less agree in
+m - 4 fields at least. In each choice of m - 4 fields some bits of each (the distances to as many unit vectors) name the
+shard; a fingerprint stands in all C(m, 4) shards, and every pair meets in one. As many bits are taken as leave SHARD_MEAN
+points in a shard of random fingerprints; m grows where the fields are too short for that. A shard of over SHARD_ROWS points
+is dealt again in the same way by the bits in which its own points differ, as often as needed.
+
+Trees. All shards of a bucket grow their trees side by side, level by level. A cell's first point is its vantage point; the
+median distance to it cuts the cell in two. A pair over the cut needs both points within the radius of it
+(triangle inequality): points of the inner side that are that near visit the outer side, and a visitor goes down only
+those sides that the bound leaves open. Cells of LEAF points or fewer are compared with their visitors. Links are united as they
+are found, and a cell whose points and visitors are united already is left out: only components are returned.
+
+Defined cases: no words (null, empty): fingerprint zero, linked like any other; a text of any length is hashed whole, in
+one task; rows of one key are one node; a null key gets its own fingerprint and no component unless its fingerprint has
+a key; keys of any type that has an order; equal fingerprints are one point, however many rows have them; an empty table gives
+an empty result; input columns named like an output column (print, component_id) are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,13 @@ from setflow.llm.components import components
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Points that a shard should hold on average, and those beyond which a shard is cut into blocks.
-SHARD_MEAN = 64
+#: Points that a shard holds on average, and those beyond which a shard is dealt again.
+SHARD_MEAN = 128
 SHARD_ROWS = 20_000
-#: Rows of many shards that one Python call takes.
+#: Rows of many shards that one Python call takes, and of cells that are cut at once.
 BUCKET_ROWS = 100_000
-LEAF = 128
+BATCH = 1 << 20
+LEAF = 8
 
 _U = np.uint64
 _LANES = _U(0x0101010101010101)
@@ -91,7 +96,7 @@ def fingerprinter(text: str, size: int, seed: int, names: list[str]):
 def with_prints(df: DataFrame, text: str = "text", size: int = SHINGLE, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of df, and the fingerprint as a signed long `print`."""
     C.bounded_batches(df.sparkSession)
-    names = keep if keep is not None else df.columns
+    names = [n for n in (keep if keep is not None else df.columns) if n.lower() != "print"]
     own = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("__sf_text"))
     schema = T.StructType([*own.schema.fields[:-1], T.StructField("print", T.LongType())])
     return own.mapInArrow(fingerprinter("__sf_text", size, seed, names), schema)
@@ -100,158 +105,191 @@ def with_prints(df: DataFrame, text: str = "text", size: int = SHINGLE, seed: in
 # --- search within a shard ------------------------------------------------------------------------
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
-class Ties:
-    """Links found so far, as ties to one end of a connected block."""
-
-    def __init__(self, radius: int):
-        self.radius, self.a, self.b = radius, [], []
-
-    def block(self, points: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
-        """All links between two small sets (of indices), as ties that connect what the links connect."""
-        near = distances(points[rows][:, None], points[cols][None, :]) <= self.radius
-        i, j = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
-        if not len(i):
-            return
-        near = near[np.ix_(i, j)]
-        top = np.iinfo(np.int64).max
-        left = rows[i].astype(np.int64)
-        while True:  # least index over links, until it stays
-            right = np.minimum(np.where(near, left[:, None], top).min(axis=0), cols[j])
-            new = np.minimum(np.where(near, right[None, :], top).min(axis=1), left)
-            if (new == left).all():
-                break
-            left = new
-        for own, least in ((rows[i], left), (cols[j], right)):
-            self.a.append(own[own != least])
-            self.b.append(least[own != least])
-
-    def brute(self, points: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
-        for s in range(0, len(rows), 512):
-            for t in range(0, len(cols), 512):
-                self.block(points, rows[s : s + 512], cols[t : t + 512])
-
-    def within(self, points: np.ndarray, own: np.ndarray) -> None:
-        """A vantage-point tree over these points; links over a split lie in the boundary layer."""
-        if len(own) <= LEAF:
-            return self.block(points, own, own)
-        d = distances(points[own], points[own[0]])
-        cut = int(np.median(d))
-        inner = d <= cut
-        if inner.all():
-            cut, inner = cut - 1, d < cut
-        if not inner.any() or inner.all():
-            return self.brute(points, own, own)
-        self.within(points, own[inner])
-        self.within(points, own[~inner])
-        self.across(points, own[inner & (d > cut - self.radius)], own[~inner & (d <= cut + self.radius)])
-
-    def across(self, points: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        if len(left) * len(right) <= LEAF * LEAF:
-            return self.brute(points, left, right) if len(left) and len(right) else None
-        pivot = points[left[0]]
-        dl, dr = distances(points[left], pivot), distances(points[right], pivot)
-        cut = int(np.median(np.concatenate([dl, dr])))
-        r = self.radius
-        parts = [(left[dl <= cut], right[dr <= cut + r]), (left[dl > cut], right[dr > cut - r])]
-        if sum(len(a) * len(b) for a, b in parts) > 0.85 * len(left) * len(right):
-            return self.brute(points, left, right)
-        for a, b in parts:
-            self.across(points, a, b)
-
-    def forest(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(point, least point of its component) for the points that are not their own."""
-        a = np.concatenate([np.empty(0, np.int64), *self.a])
-        b = np.concatenate([np.empty(0, np.int64), *self.b])
-        label = np.arange(n)
+class Components:
+    """Labels of points; a label is the least point of what has been united."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            for side in (a, b):
-                np.minimum.at(new, label[side], low)
-                np.minimum.at(new, side, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        own = np.flatnonzero(label != np.arange(n))
-        return own, label[own]
+            x, y = self.label[a], self.label[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                new = self.label[self.label]
+                if (new == self.label).all():
+                    break
+                self.label = new
+
+
+@dataclass
+class Work:
+    """What a search did: points compared with a vantage point, points compared in leaves, and pairs of points in shards."""
+
+    vantage: int = 0
+    leaf: int = 0
+    pairs: int = 0
+    levels: int = 0
+
+
+def leaves(points: np.ndarray, cell: np.ndarray, own: np.ndarray, home: np.ndarray, radius: int, found: Components, work: Work) -> None:
+    """Compare small cells: visitors with homes, homes with the homes before them. Entries are in order of cells, homes first."""
+    if not len(own):
+        return
+    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    first = np.repeat(edge, np.diff(np.append(edge, len(cell))))
+    homes = np.add.reduceat(home, edge, dtype=np.int64)[np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]]))]
+    place = np.arange(len(cell)) - first
+    for k in range(int(homes.max())):  # with the k-th home of each cell
+        at = np.flatnonzero((homes > k) & (place > k))
+        other = own[first[at] + k]
+        work.leaf += len(at)
+        near = np.bitwise_count(points[own[at]] ^ points[other]) <= radius
+        found.unite(own[at[near]], other[near])
+
+
+def vantage_point_search(points: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, Work]:
+    """(the least point that each point is linked with, what it took), over pairs of points of one shard.
+
+    points are distinct within a shard; one that stands in several shards is a point in each. shard: numbers in order.
+    """
+    found, work = Components(len(points)), Work()
+    size = np.bincount(shard) if len(shard) else np.zeros(0, np.int64)
+    work.pairs = int((size * (size - 1) // 2).sum())
+    todo = [(shard.astype(np.int64), np.arange(len(points)), np.ones(len(points), bool), 0)]
+    while todo:
+        cell, own, home, level = todo.pop()
+        work.levels = max(work.levels, level)
+        order = np.lexsort((~home, cell))
+        cell, own, home = cell[order], own[order], home[order]
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        if not len(edge):
+            continue
+        if len(cell) > BATCH and len(edge) > 1:  # half of the cells at a time
+            half = edge[max(1, int(np.searchsorted(edge, len(cell) // 2, side="right")) - 1)]
+            todo += [(cell[half:], own[half:], home[half:], level), (cell[:half], own[:half], home[:half], level)]
+            continue
+        number = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(cell))))
+        homes = np.add.reduceat(home, edge, dtype=np.int64)
+        label = found.label[own]
+        open_ = (homes > 0) & (np.maximum.reduceat(label, edge) != np.minimum.reduceat(label, edge))
+        small = (open_ & (homes <= LEAF))[number]
+        leaves(points, number[small], own[small], home[small], radius, found, work)
+        large = (open_ & (homes > LEAF))[number]
+        if not large.any():
+            continue
+        vantage = own[edge][number[large]]  # the first home of the cell
+        number, own, home = number[large], own[large], home[large]
+        d = np.bitwise_count(points[own] ^ points[vantage]).astype(np.int64)
+        work.vantage += len(d)
+        near = d <= radius
+        found.unite(own[near], vantage[near])
+        # the median distance of the homes of each cell, or one less where no home is beyond it
+        held = np.flatnonzero(home)
+        by = np.lexsort((d[held], number[held]))
+        kept, start = np.unique(number[held][by], return_index=True)
+        count = np.diff(np.append(start, len(held)))
+        sorted_d = d[held][by]
+        cut = sorted_d[start + (count - 1) // 2]
+        cut -= cut == sorted_d[start + count - 1]
+        at = np.searchsorted(kept, number)
+        far = d - cut[at]  # inside where 0 or less
+        inner = np.flatnonzero(np.where(home, far <= 0, far <= radius))
+        outer = np.flatnonzero(np.where(home, far > 0, far > -radius) | (home & (far <= 0) & (far > -radius)))
+        todo.append((np.concatenate([2 * at[inner], 2 * at[outer] + 1]), np.concatenate([own[inner], own[outer]]), np.concatenate([home[inner], home[outer] & (far[outer] > 0)]), level + 1))
+    return found.label, work
 
 
 def searcher(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        """Ties of all shards of a bucket; side: 0 and 1 are two blocks to be compared, 2 is compared with itself."""
-        key = np.stack([table[c].to_numpy() for c in ("choice", "field", "cell")])
-        order = np.lexsort((table["side"].to_numpy(), *key))
-        key, points, side, node = key[:, order], table["print"].to_numpy()[order].view(_U), table["side"].to_numpy()[order], table["node"].to_numpy()[order]
-        edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
-        group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-        size = np.diff(edge)[group]
-        ties = Ties(radius)
-        small = np.flatnonzero((size <= LEAF) & (side == 2))
-        last = edge[1:][group]
-        lag = 1
-        while len(small):  # neighbours at this lag in all small shards at once
-            small = small[small + lag < last[small]]
-            hit = small[distances(points[small], points[small + lag]) <= radius]
-            ties.a.append(hit + lag)
-            ties.b.append(hit)
-            lag += 1
-        for g in np.flatnonzero((np.diff(edge) > LEAF) | (side[edge[:-1]] != 2)).tolist():
-            own = np.arange(edge[g], edge[g + 1])
-            if side[own[0]] == 2:
-                ties.within(points, own)
-            else:
-                ties.across(points, own[side[own] == 0], own[side[own] == 1])
-        i, j = ties.forest(len(points))
-        return pa.table({"a": pa.array(node[i]), "b": pa.array(node[j])}).group_by(["a", "b"]).aggregate([])
+        """Of all shards of a bucket: every linked point with the least of its component there."""
+        shard, points = table["shard"].to_numpy(), table["print"].to_numpy().view(_U)
+        order = np.lexsort((points, shard))
+        shard, points = shard[order], points[order]
+        new = np.concatenate([[True], shard[1:] != shard[:-1]])
+        label, _ = vantage_point_search(points, np.cumsum(new) - 1, radius)
+        own = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(points[own].view(np.int64)), "b": pa.array(points[label[own]].view(np.int64))}).group_by(["a", "b"]).aggregate([])
 
     return run
 
 
-def fields(n: int, radius: int = RADIUS) -> list[int]:
-    """Masks of m fields, the fewest for which n random points leave SHARD_MEAN or fewer in a shard."""
+# --- shards -----------------------------------------------------------------------------------------
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shard_masks(n: int, radius: int = RADIUS, mean: int = SHARD_MEAN) -> list[int]:
+    """Bits that name a shard, for each choice of fields: the fewest choices that leave `mean` of n random points in a shard."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / mean)))
+    if not bits:
+        return [0]
     m = radius + 1
-    while n / 2 ** (64 * (m - radius) / m) > SHARD_MEAN and m < 2 * radius + 2:
+    while (m - radius) * (64 // m) < bits and m < 64:
         m += 1
-    cuts = [round(64 * k / m) for k in range(m + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+    each = min(64 // m, -(-bits // (m - radius)))
+    fields = [((1 << each) - 1) << round(64 * k / m) for k in range(m)]
+    return [sum(c) for c in combinations(fields, m - radius)]
+
+
+def dealer(radius: int):
+    """Rows of too large shards, dealt by the bits in which the points of a shard differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, shard, differ = (batch[c].to_numpy(zero_copy_only=False).view(_U) for c in ("print", "shard", "differ"))
+            out_points, out_shard = [], []
+            for mask in np.unique(differ).tolist():
+                bits = [b for b in range(64) if mask >> b & 1]
+                own = np.flatnonzero(differ == _U(mask))
+                for k in range(radius + 1):
+                    field = sum(1 << b for b in bits[k :: radius + 1])
+                    out_points.append(points[own])
+                    out_shard.append(C.mix(C.mix(shard[own] + _U(k + 1)) ^ (points[own] & _U(field))))
+            columns = [np.concatenate(x) if x else np.empty(0, _U) for x in (out_points, out_shard)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["print", "shard"])
+
+    return run
 
 
 def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) of nodes that connect what pairs of prints at this distance connect; points: distinct (print, node)."""
-    n = points.count()
-    parts = fields(n, radius)
-    masks = [sum(c) for c in combinations(parts, len(parts) - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    choices = F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("print").bitwiseAND(F.lit(m)).alias("field")) for k, m in enumerate(signed))))
-    dealt = points.where("node IS NOT NULL").select("print", "node", choices.alias("c")).select("print", "node", "c.choice", "c.field")
-    large = dealt.groupBy("choice", "field").count().where(F.col("count") > SHARD_ROWS).select("choice", "field", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("blocks"))
-    large = C.materialise(large)
-    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
-    # a point of block k meets every block: cell (least, greatest) of the pair, and which of the two it is in
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct((F.least(x, F.col("own")) * F.col("blocks") + F.greatest(x, F.col("own"))).alias("cell"), F.when(x == F.col("own"), 2).when(F.col("own") < x, 0).otherwise(1).alias("side"))))
-    few = dealt.join(large, ["choice", "field"], "left")
-    one = few.where("blocks IS NULL").select("print", "node", "choice", "field", F.lit(0).alias("cell"), F.lit(2).alias("side"))
-    cut = few.where("blocks IS NOT NULL").withColumn("own", own).select("print", "node", "choice", "field", pairs.alias("p")).select("print", "node", "choice", "field", "p.cell", "p.side")
-    buckets = max(1, -(-n * comb(len(parts), radius) // BUCKET_ROWS))
-    rows = one.union(cut).withColumn("bucket", F.pmod(F.xxhash64("choice", "field", "cell"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(lambda t: searcher(radius)(t), "a long, b long")
+    """Links (a, b) of prints that connect what pairs of prints at this distance connect; points: distinct (print)."""
+    masks = shard_masks(points.count(), radius)
+    named = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("print").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks))))
+    rows = C.materialise(points.select("print", named.alias("shard")))
+    done = []
+    while True:
+        large = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_or("print").alias("some"), F.bit_and("print").alias("all")).where(F.col("n") > SHARD_ROWS)
+        large = C.materialise(large.select(F.col("shard").alias("__sf_shard"), F.col("some").bitwiseXOR(F.col("all")).alias("differ")))
+        again = large.limit(1).count() > 0
+        split = rows.join(large, F.col("shard") == F.col("__sf_shard"), "left") if again else None
+        done.append(split.where("__sf_shard IS NULL").select("print", "shard") if again else rows)
+        if not again:
+            break
+        rows = C.materialise(split.where("__sf_shard IS NOT NULL").select("print", "shard", "differ").mapInArrow(dealer(radius), "print long, shard long"))
+    every = reduce(DataFrame.union, done)
+    buckets = max(1, -(-sum(d.count() for d in done) // BUCKET_ROWS))
+    return every.groupBy(F.pmod(F.xxhash64("shard"), F.lit(buckets))).applyInArrow(searcher(radius), "a long, b long")
 
 
 def near_components(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """prints (key, print, ...) with component_id: the least key reachable over links of prints at this distance."""
-    points = C.materialise(prints.groupBy("print").agg(F.min(f"`{key}`").alias("node")))
+    own = prints.select(F.col("print").alias("print"), F.col(f"`{key}`").alias("key"))
+    points = C.materialise(own.groupBy("print").agg(F.min("key").alias("least")))
     # rows of one key with several prints are one node
-    several = prints.groupBy(F.col(f"`{key}`").alias("k")).agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p != q").select("k")
-    same = prints.join(several, F.col(f"`{key}`") == F.col("k")).join(points, "print").select(F.col("k").alias("a"), F.col("node").alias("b"))
-    found = components(near_links(points, radius).union(same))
-    found = found.withColumnRenamed("node", "__sf_node")
-    named = points.join(found, F.col("node") == F.col("__sf_node"), "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return C.without(prints, "component_id").join(named, "print")
+    several = own.where("key IS NOT NULL").groupBy("key").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p != q").select(F.col("key").alias("several"), F.col("p").alias("b"))
+    same = own.join(several, F.col("key") == F.col("several")).select(F.col("print").alias("a"), "b")
+    found = components(near_links(points.select("print"), radius).union(same))
+    placed = points.join(found, F.col("print") == F.col("node"), "left").select(F.col("print").alias("__sf_print"), "least", F.coalesce("component", "print").alias("__sf_group"))
+    ids = placed.groupBy("__sf_group").agg(F.min("least").alias("component_id")).withColumnRenamed("__sf_group", "__sf_of")
+    named = placed.join(ids, F.col("__sf_group") == F.col("__sf_of")).select("__sf_print", "component_id")
+    return C.without(prints, "component_id").join(named, F.col("print") == F.col("__sf_print")).drop("__sf_print")
 
 
 def op9_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:

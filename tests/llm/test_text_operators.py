@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -201,10 +202,11 @@ def test_simhash(spark):
     assert simhash_vp.first_of_each(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [20_000, 50])
-def test_near_prints(spark, monkeypatch, shard_rows):
-    """Chains, groups and random fingerprints, also with shards cut into blocks."""
+@pytest.mark.parametrize("shard_rows,shard_mean", [(20_000, 128), (50, 32), (20, 1 << 20)])
+def test_near_prints(spark, monkeypatch, shard_rows, shard_mean):
+    """Chains, groups and random fingerprints, in one shard, in many, and in shards that are dealt again."""
     monkeypatch.setattr(simhash_vp, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(simhash_vp, "shard_masks", lambda n, radius, own=simhash_vp.shard_masks: own(n, radius, shard_mean))
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(150)]
     for _ in range(250):
@@ -219,24 +221,76 @@ def test_near_prints(spark, monkeypatch, shard_rows):
     assert {r["doc_id"]: r["component_id"] for r in simhash_vp.near_components(df).collect()} == want
 
 
-def test_vantage_point_search():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
-    points = np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)) for _ in range(3)]])
-    ties = simhash_vp.Ties(4)
-    ties.within(points, np.arange(len(points)))
-    own, least = ties.forest(len(points))
+def least_linked(points, radius):
+    """Brute force: for each point the least of its component, block by block."""
     label = np.arange(len(points))
-    label[own] = least
-    near = np.bitwise_count(points[:, None] ^ points[None]) <= 4
-    want = np.arange(len(points))
+    links = []
+    for a in range(0, len(points), 512):
+        i, j = np.nonzero(np.bitwise_count(points[a : a + 512, None] ^ points[None]) <= radius)
+        links.append(np.stack([i + a, j]))
+    i, j = np.concatenate(links, axis=1)
     while True:
-        new = np.where(near, want[None], len(points)).min(axis=1)
-        if (new == want).all():
-            break
-        want = new
-    assert (label == want).all()
-    assert simhash_vp.fields(10) == simhash_vp.fields(100_000) and len(simhash_vp.fields(10**9)) > 5
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("batch", [1 << 20, 300])
+def test_vantage_point_search(monkeypatch, batch):
+    monkeypatch.setattr(simhash_vp, "BATCH", batch)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    points = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)) for _ in range(3)], np.arange(600, dtype=np.uint64)]))
+    label, work = simhash_vp.vantage_point_search(points, np.zeros(len(points), np.int64), 4)
+    assert (label == least_linked(points, 4)).all()
+    assert work.levels > 3 and work.leaf < work.pairs / 2
+    shard = np.sort(rng.integers(0, 5, len(points)))
+    label, _ = simhash_vp.vantage_point_search(points, shard, 4)
+    for k in range(5):
+        own = np.flatnonzero(shard == k)
+        assert (label[own] - own[0] == least_linked(points[own], 4)).all()
+    assert len(simhash_vp.vantage_point_search(points[:0], shard[:0], 4)[0]) == 0
+    n_masks = [len(simhash_vp.shard_masks(n)) for n in (10, 1000, 10**6, 10**8, 10**12)]
+    assert n_masks == sorted(n_masks) and n_masks[0] == 1 and n_masks[1] == 5 and n_masks[-1] > 15
+
+
+def test_trees_do_the_work(spark):
+    """At sf0.1: every comparison happens in a tree, trees are cut, and bounds leave out most pairs of a shard."""
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    prints = simhash_vp.with_prints(common.documents(spark, str(folder)), keep=["doc_id"]).toPandas()["print"].to_numpy()
+    points = np.unique(prints.view(np.uint64))
+    shards = [points & np.uint64(m) for m in simhash_vp.shard_masks(len(points))]
+    sizes = [np.unique(x, return_counts=True)[1] for x in shards]
+    assert min(x.mean() for x in sizes) > 4 * simhash_vp.LEAF and len(shards) == 5
+    total = simhash_vp.Work()
+    for own in shards:
+        order = np.lexsort((points, own))
+        _, at = np.unique(own[order], return_inverse=True)
+        _, work = simhash_vp.vantage_point_search(points[order], at, 4)
+        total.vantage, total.leaf, total.pairs, total.levels = total.vantage + work.vantage, total.leaf + work.leaf, total.pairs + work.pairs, max(total.levels, work.levels)
+    print(total)
+    assert total.levels >= 3 and total.vantage + total.leaf < 0.8 * total.pairs
+    by = simhash_vp.near_components(spark.createDataFrame([(i, int(v)) for i, v in enumerate(points.view(np.int64))], "doc_id long, print long"))
+    got = dict(by.select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(points))] == least_linked(points, 4).tolist()
+
+
+def test_simhash_keeps_other_columns(spark):
+    """Columns with the names that the operator uses inside, and keys that are strings."""
+    data = [(f"k{i}", f"some words of text number {i % 3} and more", 1, "n", 2.0, 3, "x", "y", "z") for i in range(6)]
+    df = spark.createDataFrame(data, "doc_id string, text string, print int, node string, k double, a int, b string, component string, component_id string")
+    prints = simhash_vp.with_prints(df)
+    assert sorted(prints.columns) == sorted(df.columns)
+    found = simhash_vp.near_components(prints)
+    assert sorted(found.columns) == sorted(df.columns)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {f"k{i}": f"k{i % 3}" for i in range(6)}
+    kept = simhash_vp.first_of_each(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {"k0", "k1", "k2"}
 
 
 def test_components(spark):
