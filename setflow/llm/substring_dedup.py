@@ -29,6 +29,8 @@ WINDOW = 35
 #: Bytes of text in a block, and packed bytes of hashes in a bucket.
 BLOCK_BYTES = 8 << 20
 BUCKET_HASHES = 1 << 20
+#: Partitions of the shuffle of texts; beyond, a task has several blocks, one after another.
+MOST_PARTITIONS = 1 << 15
 OUT = ("n_words", "n_removed", "kept_text")
 BLOCK = "__sf_block"
 
@@ -52,11 +54,11 @@ def packed_rows(block: int, hashes: np.ndarray, bits: int) -> Iterator[tuple[int
     values, n = np.unique(hashes, return_counts=True)
     for several in (False, True):
         own = values[(n > 1) == several]
-        cuts = np.searchsorted(own, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
         low = (np.uint64(1) << np.uint64(64 - bits)) - np.uint64(1) if bits else np.uint64(C.MASK)
-        for bucket, part in enumerate(np.split(own, cuts)):
-            if len(part):
-                yield bucket, block, several, C.pack(part & low)
+        bucket = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()  # only the buckets that occur
+        for a, b in zip(edge, [*edge[1:], len(own)]):
+            yield int(bucket[a]), block, several, C.pack(own[a:b] & low)
 
 
 PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("several", pa.bool_()), ("hashes", pa.binary())])
@@ -135,7 +137,7 @@ def in_blocks(df: DataFrame, text: str, total: int, block_bytes: int) -> tuple[D
     blocks = max(1, -(-total // block_bytes))
     whole = df if df.schema[text].dataType == T.StringType() else df.withColumn(text, F.col(f"`{text}`").cast("string"))
     keys = [F.col(f"`{f.name}`") for f in whole.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    return whole.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")).repartition(blocks, BLOCK), blocks
+    return whole.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")).repartition(min(blocks, MOST_PARTITIONS), BLOCK), blocks
 
 
 def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:

@@ -41,11 +41,8 @@ def test_substring_dedup(spark, window, block_bytes):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 4000])
-def test_suffix_dedup(spark, block_bytes):
-    window = 400
-    df = suffix_dedup.remove_repeats(frame(spark), block_bytes=block_bytes, bucket_hashes=64, shard_bytes=20_000)
-    data = [(r[0], (r[1] or "").encode()) for r in rows()]
+def suffix_rows_of(data, window):
+    """Brute force: (doc_id, n_bytes, n_removed, n_spans, kept bytes)."""
     seen = collections.Counter(b[k : k + window] for _, b in data for k in range(len(b) - window + 1))
     want = collections.Counter()
     for i, b in data:
@@ -55,17 +52,64 @@ def test_suffix_dedup(spark, block_bytes):
                 gone[k : k + window] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i, len(b), int(gone.sum()), spans, bytes(x for x, g in zip(b, gone) if not g)] += 1
-    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in df.collect()) == want
+    return want
+
+
+def suffix_rows(df):
+    return collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in df.collect())
+
+
+@pytest.mark.parametrize("block_bytes,hot,tape_bytes", [(8 << 20, 8192, 1 << 20), (4000, 8192, 0), (20_000, 1, 1 << 20)])
+def test_suffix_dedup(spark, block_bytes, hot, tape_bytes):
+    df = suffix_dedup.remove_repeats(frame(spark), block_bytes=block_bytes, bucket_hashes=64, shard_bytes=20_000, hot=hot, tape_bytes=tape_bytes)
+    assert suffix_rows(df) == suffix_rows_of([(r[0], (r[1] or "").encode()) for r in rows()], 400)
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-def test_collection_bwt():
+@pytest.mark.parametrize("hot", [8192, 5, 1])
+def test_suffix_dedup_of_hot_anchors(spark, hot):
+    """Passages of 100 to 500 bytes in many surroundings, some of which agree for a while on one side: anchors are cut up to nine times."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    passages, sides = [noise(n) for n in (100, 330, 399, 401, 500)], [noise(300) for _ in range(4)]
+    data = []
+    for k in range(160):
+        p, left, right = rng.choice(passages), rng.choice(sides), rng.choice(sides)
+        data.append((k, noise(60) + left[rng.randint(0, 300) :] + p + right[: rng.randint(0, 300)] + noise(40)))
+    data += [(200, passages[3] * 3), (201, ("ab" * 300)), (202, "z" * 900), (203, data[0][1]), (204, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = suffix_rows(suffix_dedup.remove_repeats(df, block_bytes=9000, bucket_hashes=256, shard_bytes=30_000, hot=hot))
+    assert got == suffix_rows_of([(k, (t or "").encode()) for k, t in data], 400)
+
+
+def test_suffix_dedup_of_texts_longer_than_a_slice(spark):
+    rng = np.random.default_rng(5)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    shared = noise(common.SLICE + 5000)
+    texts = [noise(300_000) + shared + noise(1000), shared[1000:], noise(common.SLICE - 200) + shared[:400] + noise(700), noise(600_000)]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in suffix_dedup.remove_repeats(df, shard_bytes=1 << 18, tape_bytes=0).collect()}
+    n = len(shared)
+    assert got[0] == (n - 600, 2, texts[0][:300_000] + shared[400:1000] + texts[0][300_000 + n :])
+    assert got[1] == (n - 1000, 1, b"") and got[2] == (400, 1, texts[2][: common.SLICE - 200] + texts[2][common.SLICE + 200 :]) and got[3] == (0, 0, texts[3])
+
+
+@pytest.mark.parametrize("most,piece", [(1 << 20, 1 << 20), (0, 3), (0, 1)])
+def test_collection_bwt(tmp_path, most, piece):
+    """In memory and through files, in one piece and in pieces of a few numbers."""
     rng = random.Random(3)
-    for _ in range(150):
+    for _ in range(150 if most else 40):
         m = rng.randint(0, 8)
         strings = [np.array([rng.randint(0, 2) for _ in range(rng.randint(0, 9))], np.int64) for _ in range(m)]
         group = np.array([rng.randint(0, 2) for _ in range(m)], np.int64)
-        bwt, string, length, lcp = collection_bwt.collection_bwt(strings, group)
+        tapes = collection_bwt.Tapes(None if most else str(tmp_path), most, piece)
+        pieces = collection_bwt.collection_bwt(strings, group, tapes)
+        parts = next(pieces, None)
+        if not most and m:
+            assert tapes.files >= 4 and all(f.stat().st_size for f in tmp_path.glob("tapes-*/*"))
+        parts = [x for x in [parts, *pieces] if x is not None]
+        bwt, string, length, lcp = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, int)] * 4
+        assert not list(tmp_path.iterdir())
         suffix = lambda i, k: (group[i], tuple(strings[i][len(strings[i]) - k :]))
         got = [suffix(i, k) for i, k in zip(string, length)]
         assert got == sorted(suffix(i, k) for i in range(m) for k in range(len(strings[i]) + 1))
@@ -80,6 +124,16 @@ def test_collection_bwt():
         assert all(b == (strings[i][len(strings[i]) - k - 1] if k < len(strings[i]) else -1) for b, i, k in zip(bwt, string, length))
 
 
+def test_least_between():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1000, 5000).astype(np.int32)
+    low = rng.integers(0, 4999, 3000)
+    high = np.minimum(5000, low + 1 + rng.integers(0, 5000, 3000) // rng.integers(1, 500, 3000))
+    low[:20], high[:20] = 16 * np.arange(20), 16 * np.arange(20) + 512
+    assert (collection_bwt.least_between(x, low[:20], high[:20]) == [x[a:b].min() for a, b in zip(low[:20], high[:20])]).all()
+    assert collection_bwt.least_between(x, low, high).tolist() == [x[a:b].min() for a, b in zip(low, high)]
+
+
 END = "<|endoftext|>"
 
 
