@@ -24,7 +24,42 @@ def by_row(df, *names):
     return collections.Counter(tuple(r[n] for n in ("doc_id", *names)) for r in df.collect())
 
 
-@pytest.mark.parametrize("window,block_bytes", [(35, 8 << 20), (3, 4000)])
+def test_substring_dedup_survives_equal_first_hashes(spark, monkeypatch):
+    """First hashes of eight bits: nearly all windows look repeated, and the second count puts that right."""
+    data = [(r[0], WORD.findall(r[1] or "")) for r in rows()]
+    texts = common.Texts(pa.array([r[1] for r in rows()]))
+    first = substring_dedup.window_hashes
+    narrow = lambda *args: (*first(*args)[:-1], first(*args)[-1] & np.uint64(255))
+    blocks = pa.table({"text": pa.array([r[1] for r in rows()]), substring_dedup.BLOCK: pa.array([0] * len(data), pa.int32())})
+    monkeypatch.setattr(substring_dedup, "window_hashes", narrow)
+    hashes = np.concatenate([narrow(texts, a, b, 5)[-1] for a, b in texts.groups()])
+    pack = lambda rows: substring_dedup.replies(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), substring_dedup.PACKED.types)], schema=substring_dedup.PACKED))
+    one = pack(list(substring_dedup.packed_rows(0, hashes, 0)))
+    two = substring_dedup.replies(substring_dedup.verifier("text", 5, 0)(blocks, one))
+    both = pa.concat_tables([one.append_column("pass", pa.array([1] * one.num_rows)), two.append_column("pass", pa.array([2] * two.num_rows))])
+    schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    got = substring_dedup.remover("text", 5, 0, schema)(blocks, both).to_pylist()
+    seen = collections.Counter(tuple(w[k : k + 5]) for _, w in data for k in range(len(w) - 4))
+    for (_, w), row in zip(data, got):
+        gone = [False] * len(w)
+        for k in range(len(w) - 4):
+            if seen[tuple(w[k : k + 5])] > 1:
+                gone[k : k + 5] = [True] * 5
+        assert (row["n_words"], row["n_removed"], row["kept_text"]) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+
+
+def test_blocks_and_buckets_grow_in_proportion():
+    """Rows of packed hashes: never more than hashes, however many buckets there are."""
+    rng = np.random.default_rng(3)
+    for bits in (0, 8, 20, 30):
+        hashes = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)
+        found = list(substring_dedup.packed_rows(3, substring_dedup.rotate(np.concatenate([hashes, hashes[:50]]), bits), bits))
+        assert len(found) <= 500 and sum(len(common.unpack(r[3])) for r in found) == 500
+        table = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), substring_dedup.PACKED.types)], schema=substring_dedup.PACKED)
+        assert (substring_dedup.union_of(table, bits) == np.sort(substring_dedup.rotate(hashes, bits))).all()
+
+
+@pytest.mark.parametrize("window,block_bytes", [(35, 8 << 20), (3, 4000), (35, 500)])
 def test_substring_dedup(spark, window, block_bytes):
     df = substring_dedup.remove_repeats(frame(spark), window=window, block_bytes=block_bytes, bucket_hashes=256)
     assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words", "n_removed", "kept_text"]
@@ -190,15 +225,44 @@ def test_packing_of_a_hot_group_and_a_long_text(spark):
     assert max(filled.values()) <= 2048 and len({r["sequence_id"] for r in found if r["doc_id"] == 7}) > 4
 
 
-def test_token_units_equal_whole_texts():
+@pytest.mark.parametrize("ranked", [True, False])
+def test_token_units_equal_whole_texts(ranked):
     import public_tokenizers
 
-    tool = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 300)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken") if ranked else None
+    tool = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), ranks, 300)
     whole = untouched()
     rng = random.Random(1)
     plain, odd = " \n\t ab'sS12é#ñ..\r  ", "\xa0漢字😀\u2003\u3000\u0301\x1c\x85\u2028"
     texts = ["".join(rng.choice(plain if rng.random() < 0.8 else odd) if rng.random() < 0.98 else END for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     assert [list(x) for x in tool.texts(common.Texts(pa.array(texts)))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    latin = [chr(c) for c in range(1, 0x250) if not chr(c).isspace()]
+    for _ in range(20_000 if ranked else 100):
+        t = "".join(rng.choice(latin if rng.random() < 0.5 else latin[64:122]) for _ in range(rng.randint(1, 14)))
+        assert tool.unit(t.encode()) == whole.encode(t).ids and tool.unit(b" " + t.encode()) == whole.encode(" " + t).ids
+
+
+def test_ranks_must_be_the_merges(tmp_path):
+    import public_tokenizers
+
+    other = tmp_path / "other.tiktoken"
+    other.write_bytes(Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes().replace(b"IHRoZQ== 262", b"IHRoZQ== 263", 1))
+    with pytest.raises(ValueError):
+        packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), str(other))
+
+
+def test_tokens_of_the_documents():
+    """Every document of sf0.01, whole, against the tokenizer alone."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    column, whole = pq.read_table(path, columns=["text"])["text"], untouched()
+    tool = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for ids, text in zip(tool.texts(common.Texts(column)), column.to_pylist()):
+        assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids
 
 
 def test_best_fit_decreasing():
