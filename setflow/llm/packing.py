@@ -6,9 +6,11 @@ they are taken longest first, and a segment tree over remaining capacities (1 to
 fill most tightly. Each shard is packed on its own: only its last few sequences stay loose. A last loose sequence is
 not split: it is padded, except where its length is a power of two.
 
-Tokens. All ids come from `tokenizers`. White space and words are tokenised once and remembered by their bytes, since
+Tokens. Ids are those of `tokenizers`. White space and words are tokenised once and remembered by their bytes, since
 byte-level BPE never merges over the places where this module cuts; texts with white space beyond ASCII are
-tokenised whole. Special tokens of the file (added tokens) stand for themselves: texts are cut around them first.
+tokenised whole. Special tokens of the file (added tokens) stand for themselves: texts are cut around them first. Words of
+Latin characters may go through tiktoken, which runs the same merges several times as fast, but only with a file of ranks
+that holds exactly the merges of the tokenizer file, in their order, which is compared entry by entry when it is loaded.
 
 Defined cases: a null or empty text packs as its end id alone; a text of any length is cut into windows, tokenised slice
 by slice in one task; the strings of special tokens become their ids, as the tokenizer does by itself; pieces of equal
@@ -19,10 +21,12 @@ clash.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,7 @@ MEMORY = 1 << 19
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
+_LATIN = re.compile("[\x00-\u024f]*")
 _JOINT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
@@ -53,6 +58,23 @@ def slices(text: str, most: int = C.SLICE) -> Iterator[str]:
         a = b
 
 
+def ranks_of_merges(path: str) -> dict[bytes, int]:
+    """Bytes and id of every token that the merges of a byte-level BPE file can make; ids rise with the order of merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    raw = lambda token: bytes(byte[c] for c in token)
+    out = {raw(t): model["vocab"][t] for t in byte}
+    last = max(out.values())
+    for pair in model["merges"]:
+        token = "".join(pair if isinstance(pair, list) else pair.split(" "))
+        if model["vocab"][token] <= last:
+            raise ValueError("merges are not in the order of ids")
+        out[raw(token)] = last = model["vocab"][token]
+    return out
+
+
 class Memo:
     """Token ids of units, in numpy arrays; unit 0 has none."""
 
@@ -85,10 +107,20 @@ class Memo:
 class Encoder:
     """Ids of whole texts, equal to encode(text, add_special_tokens=False) of the tokenizer file."""
 
-    def __init__(self, path: str, most: int = MEMORY):
+    def __init__(self, path: str, ranks: str | None = None, most: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.fast = None
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            if table != ranks_of_merges(path):
+                raise ValueError(f"{ranks} doesn't hold the merges of {path}")
+            self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         added = self.whole.get_added_tokens_decoder()
         #: Added tokens that stand for themselves wherever they occur; texts with others are tokenised whole.
         self.plain = {t.content: k for k, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
@@ -99,15 +131,23 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def unit(self, data: bytes) -> list[int]:
+        text = data.decode()
+        return self.fast(text) if self.fast and (text.isascii() or _LATIN.fullmatch(text)) else self.encode(text)
+
     def find(self, raw: bytes, low: list[int], high: list[int]) -> np.ndarray:
         """The unit of each stretch of bytes."""
         words = self.memo.words
         parts = [raw[a:b] for a, b in zip(low, high)]
-        units = np.fromiter((words.get(x, -1) for x in parts), np.int64, len(parts))
+        units = np.fromiter(map(words.get, parts, repeat(-1)), np.int64, len(parts))
         lost = np.flatnonzero(units < 0).tolist()
         if lost:
             new = list(dict.fromkeys(parts[k] for k in lost))
-            first = self.memo.add([self.encode(x.decode()) for x in new])
+            if self.fast and all(map(bytes.isascii, new)):
+                ids = list(map(self.fast, map(bytes.decode, new)))
+            else:
+                ids = [self.unit(x) for x in new]
+            first = self.memo.add(ids)
             words.update(zip(new, range(first, first + len(new))))
             units[lost] = [words[parts[k]] for k in lost]
         return units
@@ -181,21 +221,21 @@ class Encoder:
                 yield from self.group(data, offsets)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, ranks: str | None) -> Encoder:
+    if (path, ranks) not in _encoders:
+        _encoders[path, ranks] = Encoder(path, ranks)
+    return _encoders[path, ranks]
 
 
 PIECE = ("start", "length", "ids_crc32", "doc_tokens")
 
 
-def piece_maker(path: str, window: int, end_id: int, key: str):
+def piece_maker(path: str, ranks: str | None, window: int, end_id: int, key: str):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = encoder(path, ranks)
         for batch in batches:
             rows: list[tuple] = []
             for k, ids in enumerate(tool.texts(C.Texts(batch["__sf_text"]))):
@@ -273,19 +313,20 @@ def packer(window: int, shards: int):
     return run
 
 
-def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None, ranks: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row for each piece of a document: where it starts in its document, and where it stands in its sequence.
 
-    tokenizer: a file of a byte-level BPE vocabulary, the same on every executor. Full windows have odd sequence_ids.
+    tokenizer: a file of a byte-level BPE vocabulary, the same on every executor; ranks: the same merges for tiktoken, or None.
+    Full windows have odd sequence_ids.
     """
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+        tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     C.bounded_batches(df.sparkSession)
     own = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__sf_text"))
     schema = T.StructType([own.schema.fields[0], *(T.StructField(n, T.LongType()) for n in PIECE)])
-    pieces = C.materialise(own.mapInArrow(piece_maker(tokenizer, window, end_id, key), schema))
+    pieces = C.materialise(own.mapInArrow(piece_maker(tokenizer, ranks, window, end_id, key), schema))
     placed = pieces.withColumn("__sf_place", F.monotonically_increasing_id())  # of rows of a table that doesn't change
     full = placed.where(F.col("length") == window).select(F.col(f"`{key}`"), *PIECE, (2 * F.col("__sf_place") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = placed.where(F.col("length") < window)
