@@ -44,9 +44,9 @@ SHINGLE = 4
 SEED = 42
 #: Points that a shard holds on average, and those beyond which a shard is dealt again.
 SHARD_MEAN = 128
-SHARD_ROWS = 20_000
+SHARD_ROWS = 8192
 #: Rows of many shards that one Python call takes, and of cells that are cut at once.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 25_000
 BATCH = 1 << 20
 LEAF = 8
 
