@@ -3,15 +3,18 @@
 Method. A language's reference is two histograms over all its documents: character classes, and its common words (share of
 MIN_SHARE or more of its words, by 64-bit hash in lower case) with one bin for all others. Common words are found with
 Misra-Gries summaries of SUMMARY counters, which keep every word of a share above 1 / (SUMMARY + 1) whatever the data,
-merge in two levels, and bound what a second pass counts exactly and what is broadcast. A text's Jensen-Shannon distance (base
-2, 0 to 1) is taken to the nearest reference for each histogram. It passes if both distances stay below their
+merge in two levels, and bound what a second pass counts exactly and what is broadcast: a language has 1 / MIN_SHARE common
+words at most, and references are sparse. More than LANGUAGES languages raise a ValueError. A text's Jensen-Shannon distance
+(base 2, 0 to 1) is taken to the nearest reference for each histogram. It passes if both distances stay below their
 limits; short texts scatter, so a limit rises by NOISE * bins / count, and a histogram of too few counts
 (MIN_CHARS, MIN_WORDS) isn't judged.
 
 Base rules: base_failed if n_words < 50 or over half of the words lie in 3-word windows that occur twice or more.
 
-Defined cases: a null text has no words and fails; null languages form a reference of their own; an empty table gives
-an empty result; repeated rows count as often as they occur; input columns named like an output column are replaced.
+Defined cases: a null or empty text has no words and fails; a text of any length is counted whole, in one task; null languages
+form a reference of their own, and so do empty ones; a text that is as near to two references takes the bins of the first in
+the order of languages, null last; an empty table gives an empty result; repeated rows count as often as they occur; input
+columns named like an output column are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ SUMMARY = 1000
 LANGUAGES = 1024
 MIN_CHARS, MIN_WORDS = 200, 50
 CLASS_LIMIT, WORD_LIMIT, NOISE = 0.30, 0.44, 0.02
-OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 _SYMBOLS = b"#*$%&|<>"
 
@@ -101,7 +104,7 @@ def summariser(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             texts, langs = C.Texts(batch["text"]), np.array(batch["lang"].to_pylist(), object)
             for a, b in texts.groups(1 << 20):
@@ -126,7 +129,7 @@ def merger(most: int):
     return run
 
 
-def common_candidates(rows: DataFrame, most: int = SUMMARY) -> dict[str, np.ndarray]:
+def common_candidates(rows: DataFrame, most: int = SUMMARY) -> dict[str | None, np.ndarray]:
     """For each language at most `most` word hashes, among them every word of a share above 1 / (most + 1)."""
     parts = rows.mapInArrow(summariser(most), SUMMARIES).withColumn("part", F.pmod("part", F.lit(64)))
     once = parts.groupBy("lang", "part").applyInArrow(merger(most), SUMMARIES)
@@ -141,18 +144,23 @@ def common_candidates(rows: DataFrame, most: int = SUMMARY) -> dict[str, np.ndar
 
 @dataclass
 class References:
-    langs: list[str]
+    """Histograms of languages; of the words only the common ones of each language are held."""
+
+    langs: list[str | None]
     classes: np.ndarray  # [language, class]: shares
     words: np.ndarray  # all common words of all languages, sorted
-    shares: np.ndarray  # [language, word, and last all others]; a language's others are its uncommon words
-    common: np.ndarray  # [language, word]: is it one of the language's common words?
+    start: np.ndarray  # of each word, and the end: its languages in the next two arrays
+    lang: np.ndarray
+    share: np.ndarray
+    others: np.ndarray  # share of each language's uncommon words
+    bins: np.ndarray  # of each language
 
 
 def exact_counter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates: dict[str, np.ndarray] = shared.value
-        classes: dict[str, np.ndarray] = {}
-        words: dict[str, np.ndarray] = {}
+        candidates: dict[str | None, np.ndarray] = shared.value
+        classes: dict[str | None, np.ndarray] = {}
+        words: dict[str | None, np.ndarray] = {}
         for batch in batches:
             texts, langs = C.Texts(batch["text"]), np.array(batch["lang"].to_pylist(), object)
             for a, b in texts.groups():
@@ -178,59 +186,67 @@ def exact_counter(shared):
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE, most: int = SUMMARY) -> References | None:
     C.bounded_batches(df.sparkSession)
-    rows = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"))
+    rows = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     candidates = common_candidates(rows, most)
     if not candidates:
         return None
     shared = df.sparkSession.sparkContext.broadcast(candidates)  # at most LANGUAGES * SUMMARY hashes
     sums = rows.mapInArrow(exact_counter(shared), "lang string, kind int, k int, n long").groupBy("lang", "kind", "k").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(candidates)
+    langs = sorted(candidates, key=lambda x: (x is None, x or ""))
     classes = {x: np.zeros(CLASSES) for x in langs}
-    words = {x: np.zeros(len(candidates[x]) + 1) for x in langs}
+    counts = {x: np.zeros(len(candidates[x]) + 1) for x in langs}
     for x, kind, k, n in zip(*(c.to_pylist() for c in sums.columns)):
-        (words if kind else classes)[x][k] = n
-    held = {x: words[x][:-1] >= min_share * max(1.0, words[x][-1]) for x in langs}
-    every = np.unique(np.concatenate([candidates[x][held[x]] for x in langs]))
-    shares, common = np.zeros((len(langs), len(every) + 1)), np.zeros((len(langs), len(every)), bool)
-    for j, x in enumerate(langs):
-        at = np.searchsorted(every, candidates[x][held[x]])
-        shares[j, at] = words[x][:-1][held[x]] / max(1.0, words[x][-1])
-        common[j, at] = True
-        shares[j, -1] = 1.0 - shares[j, :-1].sum()
+        (counts if kind else classes)[x][k] = n
+    held = {x: counts[x][:-1] >= min_share * max(1.0, counts[x][-1]) for x in langs}
+    size = np.array([held[x].sum() for x in langs])
+    words = np.concatenate([candidates[x][held[x]] for x in langs])
+    share = np.concatenate([counts[x][:-1][held[x]] / max(1.0, counts[x][-1]) for x in langs])
+    number = np.repeat(np.arange(len(langs)), size)
+    order = np.lexsort((number, words))
+    every, start = np.unique(words[order], return_index=True)
     table = np.array([classes[x] / max(1.0, classes[x].sum()) for x in langs])
-    return References(langs, table, every, shares, common)
+    return References(langs, table, every, np.append(start, len(words)), number[order], share[order], 1.0 - np.bincount(number, share, len(langs)), size + 1)
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits, over the last axis."""
+def entropy_terms(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What one bin adds to twice the Jensen-Shannon divergence, in bits."""
     m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(p / m), 0.0) + np.where(q > 0, q * np.log2(q / m), 0.0)
 
-    def kl(x: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(x > 0, x * np.log2(x / m), 0.0).sum(axis=-1)
 
-    return np.maximum(0.0, (kl(p) + kl(q)) / 2)
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits, over the last axis."""
+    return np.maximum(0.0, entropy_terms(p, q).sum(axis=-1) / 2)
 
 
 def distances(ref: References, kinds: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distance of classes, distance of words, bins of the nearest word reference) of each text to its nearest references."""
-    n = len(kinds)
+    n, n_langs = len(kinds), len(ref.langs)
+    step = max(1, (1 << 20) // (CLASSES * n_langs))
+    if n > step:  # some texts at a time
+        parts = [distances(ref, kinds[a : a + step], hashes[counts[a] : counts[min(n, a + step)]], counts[a : a + step + 1] - counts[a]) for a in range(0, n, step)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
     p = kinds / np.maximum(1, kinds.sum(axis=1))[:, None]
     by_class = np.sqrt(divergence(p[:, None, :], ref.classes[None])).min(axis=1)
     at = np.searchsorted(ref.words, hashes)
     at[at == len(ref.words)] = 0
     hit = ref.words[at] == hashes if len(ref.words) else np.zeros(len(hashes), bool)
     owner = np.repeat(np.arange(n), np.diff(counts))
-    table = np.bincount(owner[hit] * len(ref.words) + at[hit], minlength=n * len(ref.words)).reshape(n, -1) if len(ref.words) else np.zeros((n, 0))
-    total = np.maximum(1, np.diff(counts))
-    best, bins = np.full(n, np.inf), np.ones(n)
-    for j in range(len(ref.langs)):
-        own = table[:, ref.common[j]] / total[:, None]
-        q = np.concatenate([own, 1.0 - own.sum(axis=1, keepdims=True)], axis=1)
-        d = np.sqrt(divergence(q, np.append(ref.shares[j, :-1][ref.common[j]], ref.shares[j, -1])[None]))
-        bins = np.where(d < best, q.shape[1], bins)
-        best = np.minimum(best, d)
-    return by_class, best, bins
+    # each common word of each text, once for every language that has it
+    cell, times = np.unique(owner[hit] * max(1, len(ref.words)) + at[hit], return_counts=True)
+    text, word = np.divmod(cell, max(1, len(ref.words)))
+    have = ref.start[word + 1] - ref.start[word]
+    place = np.arange(have.sum()) + np.repeat(ref.start[word] - np.cumsum(have) + have, have)
+    own, q = np.repeat(text, have), ref.share[place]
+    share = np.repeat(times / np.maximum(1, np.diff(counts))[text], have)
+    by = own * n_langs + ref.lang[place]
+    # a common word that a text doesn't have adds the language's share of it
+    more = np.bincount(by, entropy_terms(share, q) - q, n * n_langs).reshape(n, n_langs)
+    others = np.maximum(0.0, (np.diff(counts) > 0)[:, None] - np.bincount(by, share, n * n_langs).reshape(n, n_langs))
+    twice = more + (1.0 - ref.others) + entropy_terms(others, np.broadcast_to(ref.others, others.shape))
+    nearest = twice.argmin(axis=1)
+    return by_class, np.sqrt(np.clip(twice[np.arange(n), nearest] / 2, 0.0, 1.0)), ref.bins[nearest]
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -274,9 +290,9 @@ def ruler(shared, names: list[str], text: str):
                     chars = kinds.sum(axis=1)
                     good = (chars < MIN_CHARS) | (by_class <= CLASS_LIMIT + NOISE * CLASSES / np.maximum(1, chars))
                     good &= (words < MIN_WORDS) | (by_word <= WORD_LIMIT + NOISE * bins / np.maximum(1, words))
-                parts.append([*base.values(), failed, by_class, by_word, ~failed & good])
+                parts.append([*base.values(), failed, ~failed & good, by_class, by_word])
             columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0)] * len(OUT)
-            yield pa.RecordBatch.from_arrays([batch[n] for n in names] + [pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()])], names=[*names, *OUT])
+            yield pa.RecordBatch.from_arrays([batch[n] for n in names] + [pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2)], names=[*names, *OUT])
 
     return run
 
@@ -286,7 +302,7 @@ def apply_rules(df: DataFrame, ref: References | None, text: str = "text", keep:
     C.bounded_batches(df.sparkSession)
     names = [n for n in (keep if keep is not None else df.columns) if n.lower() not in OUT]
     own = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("__sf_text"))
-    kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
+    kinds = [T.LongType()] * 5 + [T.BooleanType()] * 2 + [T.DoubleType()] * 2
     schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, t) for n, t in zip(OUT, kinds))])
     return own.mapInArrow(ruler(df.sparkSession.sparkContext.broadcast(ref), names, "__sf_text"), schema)
 

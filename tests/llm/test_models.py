@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from setflow.llm import common, language_id, quality_crf, quality_rules, registry, source_mix, url_filter
@@ -192,7 +193,71 @@ def test_common_words_are_exact(spark):
     assert ref.langs == ["de", "en"]
     counts = collections.Counter(w for r in two_languages(100) if r[2] == "de" for w in r[1].split())
     want = sorted(n / sum(counts.values()) for n in counts.values() if n / sum(counts.values()) >= 0.01)
-    assert np.allclose(sorted(ref.shares[0, :-1][ref.common[0]]), want)
+    assert np.allclose(sorted(ref.share[ref.lang == 0]), want)
+
+
+def naive_distances(text, by_lang, classes):
+    """(of classes, of words, bins): Jensen-Shannon distances to the nearest language, from dictionaries."""
+
+    def distance(p, q):
+        out = 0.0
+        for k in p.keys() | q.keys():
+            a, b = p.get(k, 0.0), q.get(k, 0.0)
+            out += sum(x * math.log2(2 * x / (a + b)) for x in (a, b) if x > 0) / 2
+        return math.sqrt(max(0.0, out))
+
+    def shares(counter):
+        return {k: n / max(1, sum(counter.values())) for k, n in counter.items()}
+
+    found = []
+    for own in by_lang.values():
+        every = shares(collections.Counter(w for t in own for w in lowered(t)))
+        common = {w: x for w, x in every.items() if x >= quality_rules.MIN_SHARE}
+        mine = shares(collections.Counter(w if w in common else None for w in lowered(text)))
+        found.append((distance(mine, common | {None: 1 - sum(common.values())}) if mine else math.sqrt(0.5), len(common) + 1))
+    by_class = min(distance(shares(collections.Counter(map(class_of, text))), shares(sum((collections.Counter(map(class_of, t)) for t in own), collections.Counter()))) if text else math.sqrt(0.5) for own in by_lang.values())
+    return by_class, *min(found, key=lambda x: x[0])
+
+
+def lowered(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text)]
+
+
+def class_of(c):
+    return int(quality_rules._CLASS[c.encode()[0]])
+
+
+def test_rules_against_direct_distances(spark):
+    """Distances and verdicts of every text, with null and empty languages, against dictionaries."""
+    data = [r for r in rows() if len(r[1] or "") < 20_000] + [(900 + i, t, "", "s", 0, "c") for i, t in enumerate(["qu'est ce que c'est là bas " * 20, "αβγ δεζ " * 60])]
+    data += [(950 + i, t, ("en", None)[i % 2], "s", 0, "c") for i, t in enumerate([" ".join(random.Random(i).choices(WORDS, k=200)) + " 12 #" * (30 * i) for i in range(6)])]
+    df = frame(spark, data)
+    by_lang = collections.defaultdict(list)
+    for r in data:
+        if r[1] is not None:
+            by_lang[r[2]].append(r[1])
+    ref = quality_rules.references(df)
+    assert ref.langs == ["", "en", "fr", None]
+    got = quality_rules.apply_rules(df, ref).collect()
+    assert got[0].__fields__[-4:] == ["base_failed", "kept", "class_distance", "word_distance"]
+    texts = {r[0]: r[1] or "" for r in data}
+    verdicts = collections.Counter()
+    for r in got:
+        text = texts[r["doc_id"]]
+        by_class, by_word, bins = naive_distances(text, by_lang, quality_rules.CLASSES)
+        assert math.isclose(r["class_distance"], by_class, abs_tol=1e-6) and math.isclose(r["word_distance"], by_word, abs_tol=1e-6)
+        words = len(WORD.findall(text))
+        good = len(text) < quality_rules.MIN_CHARS or by_class <= quality_rules.CLASS_LIMIT + quality_rules.NOISE * quality_rules.CLASSES / max(1, len(text))
+        good = good and (words < quality_rules.MIN_WORDS or by_word <= quality_rules.WORD_LIMIT + quality_rules.NOISE * bins / max(1, words))
+        assert r["kept"] == (not r["base_failed"] and good)
+        verdicts[r["kept"], r["base_failed"]] += 1
+    assert len(verdicts) == 3  # kept, failed, and turned down by the distances alone
+
+
+def test_rules_refuse_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        quality_rules.references(frame(spark))
 
 
 PAGES = [
