@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from setflow.llm import common as C
 from setflow.llm.collection_bwt import TAPE_BYTES, Tapes, collection_bwt
-from setflow.llm.substring_dedup import BLOCK, in_blocks, packed_rows, replies, rotate
+from setflow.llm.substring_dedup import BLOCK, in_blocks, packed_rows, replies, rotate, union_of
 
 WINDOW = 400
 ANCHOR = 64
@@ -48,7 +48,7 @@ BLOCK_BYTES = 8 << 20
 BUCKET_HASHES = 1 << 20
 SHARD_BYTES = 8 << 20
 #: Different stretches of one anchor beyond which it is cut.
-HOT = 8192
+HOT = 32768
 OUT = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -149,12 +149,6 @@ def found_stretches(texts: C.Texts, window: int, wanted, hot: list[np.ndarray],
         yield a, b, data, offsets, key, low, start, end, np.frombuffer(raw, "<i8").reshape(-1, 2)
 
 
-def union_of(sets: pa.Table, bits: int) -> np.ndarray:
-    shift = np.uint64(64 - bits)
-    parts = [C.unpack(h) | ((np.uint64(b) << shift) if bits else np.uint64(0)) for b, h in zip(sets["bucket"].to_pylist(), sets["hashes"].to_pylist())]
-    return np.sort(np.concatenate([np.empty(0, np.uint64), *parts]))
-
-
 #: What a block is told. kind: -1 - k for a key that is cut the (k + 1)-th time, ASK for a copy, ASK + 1 if that stretch is repeated, SPAN for windows to remove.
 TOLD = "block int, kind int, anchor long, d1 long, d2 long, first int, last int"
 ASK, SPAN = 2, 4
@@ -325,11 +319,13 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, bloc
         counts = pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).withColumnRenamed("anchor", "of")
         judged = C.materialise(pairs.join(counts, F.col("anchor") == F.col("of")).where("n > 1 OR different > 1").drop("of"))
         cool = judged.where(F.col("different") <= hot)
-        again = cool.where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in name])
-        whole.append(digests.join(again, [F.col(c) == F.col(f"of_{c}") for c in name]).select("block", F.lit(SPAN).alias("kind"), *name, *told))
+        several = cool.where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in name])
+        whole.append(digests.join(several, [F.col(c) == F.col(f"of_{c}") for c in name]).select("block", F.lit(SPAN).alias("kind"), *name, *told))
         asked.append(cool.where("different > 1").select("block", F.when(F.col("n") > 1, ASK + 1).otherwise(ASK).alias("kind"), *name, *told))
         large = C.materialise(judged.where(F.col("different") > hot).select(F.col("anchor").alias("of")).distinct())
-        if not large.limit(1).count():
+        again = large.limit(1).count() > 0
+        C.free_shuffles(df.sparkSession)  # of the texts, which the next query deals again
+        if not again:
             break
         held = digests.join(large, F.col("anchor") == F.col("of")).select("block", F.lit(-1 - len(cuts)).alias("kind"), "anchor").distinct()
         cuts.append(C.materialise(held.select("block", "kind", "anchor", F.lit(0).cast("long").alias("d1"), F.lit(0).cast("long").alias("d2"), *told)))
