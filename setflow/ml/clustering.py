@@ -31,6 +31,11 @@ def sample_points(df: DataFrame, n: int, key: str, vector: str = "x", seed: int
 # --- k-means ----------------------------------------------------------------------------------------
 
 
+def vectors_of(column: pa.ListArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def assign(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The nearest centroid of each point, of equals the first; by |x|^2 + |c|^2 - 2xc, exact sums where that is too coarse."""
     square = (points * points).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1)[None]
@@ -49,7 +54,7 @@ def _lloyd(shared, vector: str):
         sums, n = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch[vector].to_pylist(), float)
+                x = vectors_of(batch[vector])
                 best = assign(x, centroids)
                 n += np.bincount(best, minlength=len(n))
                 np.add.at(sums, best, x)
@@ -127,7 +132,7 @@ def _expect(shared, vector: str):
         w, wx, wxx, likelihood = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch[vector].to_pylist(), float)
+                x = vectors_of(batch[vector])
                 logs = model.log_densities(x)
                 whole = log_sum_exp(logs)
                 r = np.exp(logs - whole[:, None])

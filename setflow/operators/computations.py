@@ -57,7 +57,7 @@ class Computation:
         return self
 
     def set_using_combiner(self, use: bool) -> Computation:
-        """Kept for the interface: partial aggregation is Catalyst's choice."""
+        """Without it an aggregate deals its rows by key first, so nothing is folded before the shuffle."""
         self.use_combiner = use
         return self
 

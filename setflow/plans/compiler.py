@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setflow.functions.terms import Equal, Row, Self, Term, wrap
+from setflow.functions.terms import Equal, Member, Row, Self, Term, wrap
 from setflow.operators import computations as N
 from setflow.types import REGISTRY, TypeRegistry
 
 Reader = Callable[[str, str], DataFrame]
+#: (database, set, field) -> a copy of the set that is bucketed by the field, or None.
+Copies = Callable[[str, str, str], "DataFrame | None"]
 
 
 def as_column(value, rows: list[Row]) -> Column:
@@ -29,8 +31,8 @@ def as_columns(fields, rows: list[Row]) -> list[Column]:
 class Compiler:
     """Compiles graphs against a reader of sets."""
 
-    def __init__(self, read: Reader, types: TypeRegistry = REGISTRY):
-        self.read, self.types = read, types
+    def __init__(self, read: Reader, types: TypeRegistry = REGISTRY, copies: Copies | None = None):
+        self.read, self.types, self.copies = read, types, copies
         self._done: dict[int, tuple[N.Computation, DataFrame]] = {}
 
     def compile(self, node: N.Computation) -> DataFrame:
@@ -38,7 +40,7 @@ class Compiler:
             kids = [self.compile(k) for k in node.wired()]
             df = getattr(self, f"_{node.name}")(node, *kids)
             if node.nodes_to_collect is not None:
-                df = df.coalesce(node.nodes_to_collect)
+                df = df.repartition(node.nodes_to_collect)  # not coalesce, which would run the last stage in as few tasks
             self._done[id(node)] = (node, self.types.check(node.out_type, df))
         return self._done[id(node)][1]
 
@@ -67,11 +69,15 @@ class Compiler:
         return many.withColumnRenamed("__element", node.element)
 
     def _join(self, node: N.Join, *frames: DataFrame) -> DataFrame:
-        rows = [self._row(node, k, df, alias=f"in{k}") for k, df in enumerate(frames)]
         left = list(node.where(*node.handles()).conjuncts()) if node.where else []
-        out, seen = frames[0].alias("in0"), frozenset([0])
-        for k, df in enumerate(frames[1:], 1):
-            side = df.alias(f"in{k}")
+        frames = tuple(self._bucketed(node, k, df, left) for k, df in enumerate(frames))
+        rows = [self._row(node, k, df, alias=f"in{k}") for k, df in enumerate(frames)]
+        out, seen, waiting = frames[0].alias("in0"), frozenset([0]), list(range(1, len(frames)))
+        while waiting:
+            # next comes an input with a key to those joined; inputs without any key are multiplied last
+            k = next((k for k in waiting if any(isinstance(t, Equal) and t.is_key() and k in t.inputs() and t.inputs() <= seen | {k} for t in left)), waiting[0])
+            waiting.remove(k)
+            side = frames[k].alias(f"in{k}")
             if k in node.hints:
                 side = side.hint(node.hints[k])
             seen = seen | {k}
@@ -89,9 +95,22 @@ class Compiler:
             out = out.join(side, condition, "inner")
         return out.select(*as_columns(node.fields(*node.handles()), rows))
 
+    def _bucketed(self, node: N.Join, slot: int, df: DataFrame, terms: list[Term]) -> DataFrame:
+        """A copy of a scanned set that is bucketed by a field that is a join key, where there is one."""
+        source = node.inputs[slot]
+        if self.copies is None or not isinstance(source, N.Scan):
+            return df
+        for key in (t for t in terms if isinstance(t, Equal) and t.is_key()):
+            for side in key.kids:
+                if isinstance(side, Member) and side.slot == slot and (copy := self.copies(source.db, source.set_name, side.path)) is not None:
+                    return copy.select(*[F.col(f"`{c}`") for c in df.columns])
+        return df
+
     def _aggregate(self, node: N.Aggregate, df: DataFrame) -> DataFrame:
         rows = [self._row(node, 0, df)]
         folds = [f.compile(rows).alias(k) for k, f in node.folds(*node.handles()).items()]
+        if node.keys is not None and not node.use_combiner:  # rows are dealt by key before anything is folded
+            df = df.repartition(*(as_column(v, rows) for v in node.keys(*node.handles()).values()))
         if node.keys is None:  # a constant key: an empty input has no group
             return df.groupBy(F.lit(0).alias("__key")).agg(*folds).drop("__key")
         return df.groupBy(*as_columns(node.keys(*node.handles()), rows)).agg(*folds)

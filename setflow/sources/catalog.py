@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Row as SparkRow
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ class SetStore:
         self.spark, self.types = spark, types
         self._folders: dict[str, str] = {}
         self._frames: dict[tuple[str, str], DataFrame] = {}
+        self._copies: dict[str, dict[tuple[str, str], str]] = {}
 
     # --- definition ---
     def create_database(self, db: str) -> None:
@@ -38,13 +40,16 @@ class SetStore:
 
     def remove_set(self, db: str, name: str) -> None:
         self._frames.pop((db, name), None)
+        self._changed(db, name)
         self.spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{name}`")
 
     def clear_set(self, db: str, name: str) -> None:
+        self._changed(db, name)
         self.spark.sql(f"TRUNCATE TABLE `{db}`.`{name}`")
 
     def remove_database(self, db: str) -> None:
         self._folders.pop(db, None)
+        self._copies.pop(db, None)
         self.spark.sql(f"DROP DATABASE IF EXISTS `{db}` CASCADE")
 
     def attach(self, db: str, folder: str) -> SetStore:
@@ -74,10 +79,21 @@ class SetStore:
     def send_data(self, db: str, name: str, rows: Iterable) -> int:
         """Append rows from the client."""
         rows = list(rows)
+        self._changed(db, name)
         schema = self.spark.table(f"`{db}`.`{name}`").schema
         self.spark.createDataFrame(rows, schema).write.mode("append").insertInto(f"{db}.{name}")
         return len(rows)
 
+    def send_bytes(self, db: str, name: str, stream: bytes) -> int:
+        """Append the rows of an Arrow stream from the client."""
+        table = pa.ipc.open_stream(stream).read_all()
+        self.append(db, name, self.spark.createDataFrame(table))
+        return table.num_rows
+
+    def flush(self, db: str, name: str) -> None:
+        """Rows are on disk when a call returns; this makes the session see what others wrote."""
+        self.spark.catalog.refreshTable(f"`{db}`.`{name}`")
+
     def read(self, db: str, name: str) -> DataFrame:
         if (db, name) in self._frames:
             return self._frames[db, name]
@@ -86,6 +102,7 @@ class SetStore:
         return self.spark.table(f"`{db}`.`{name}`")
 
     def append(self, db: str, name: str, df: DataFrame) -> None:
+        self._changed(db, name)
         columns = self.spark.table(f"`{db}`.`{name}`").columns
         df.select(*[F.col(f"`{c}`") for c in columns]).write.mode("append").insertInto(f"{db}.{name}")
 
@@ -103,11 +120,39 @@ class SetStore:
         df.write.mode("overwrite").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
 
     def partition_set(self, db: str, source: str, target: str, key: str, buckets: int, keys_only: bool = False) -> None:
-        """A copy of a set bucketed by key, so that joins on it need no shuffle; its origin is a property of the table."""
+        """A copy of a set bucketed by key. Its origin is a property of the table; joins of the set on that key read the copy, without a shuffle.
+
+        A change of the set through a store makes its copies stale: joins read the set itself until it is partitioned anew.
+        """
         df = self.read(db, source)
         df = df.select(key) if keys_only else df
         df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(f"`{db}`.`{target}`")
-        self.spark.sql(f"ALTER TABLE `{db}`.`{target}` SET TBLPROPERTIES ('setflow.source' = '{source}', 'setflow.key' = '{key}')")
+        self.spark.sql(f"ALTER TABLE `{db}`.`{target}` SET TBLPROPERTIES ('setflow.source' = '{source}', 'setflow.key' = '{key}', 'setflow.whole' = '{"" if keys_only else "yes"}')")
+        self._copies.pop(db, None)
+
+    def _copies_of(self, db: str) -> dict[tuple[str, str], str]:
+        """The whole and fresh copies in a database, by set and key."""
+        if db not in self._copies:
+            self._copies[db] = {}
+            if self.spark.catalog.databaseExists(db):
+                for t in self.spark.catalog.listTables(db):
+                    if not t.isTemporary:
+                        own = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES `{db}`.`{t.name}`").collect()}
+                        if own.get("setflow.whole") == "yes":
+                            self._copies[db][own["setflow.source"], own["setflow.key"]] = t.name
+        return self._copies[db]
+
+    def _changed(self, db: str, name: str) -> None:
+        for (source, _), copy in list(self._copies_of(db).items()):
+            if name in (source, copy):
+                self.spark.sql(f"ALTER TABLE `{db}`.`{copy}` SET TBLPROPERTIES ('setflow.whole' = '')")
+                self._copies.pop(db, None)
+
+    def bucketed(self, db: str, name: str, key: str) -> DataFrame | None:
+        """A whole copy of a set that is bucketed by a field, if there is a fresh one."""
+        if (db, name) in self._frames or (copy := self._copies_of(db).get((name, key))) is None:
+            return None
+        return self.spark.table(f"`{db}`.`{copy}`")
 
     def place(self, df: DataFrame, partitions: int, policy: str = "round_robin", seed: int = 0) -> DataFrame:
         """Rows dealt to partitions in turn, or by a seeded draw."""
@@ -126,11 +171,11 @@ class SetStore:
     # --- execution ---
     def frame(self, node: N.Computation) -> DataFrame:
         """The rows of a node, not yet computed."""
-        return Compiler(self.read, self.types).compile(node)
+        return Compiler(self.read, self.types, self.bucketed).compile(node)
 
     def execute(self, *sinks: N.Computation) -> None:
         """Run a graph: every write, and every node with an output of its own; shared nodes with several writes are kept meanwhile."""
-        compiler = Compiler(self.read, self.types)
+        compiler = Compiler(self.read, self.types, self.bucketed)
         targets: list[tuple[str, str, N.Computation]] = []
         seen: set[int] = set()
 

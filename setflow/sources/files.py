@@ -38,17 +38,20 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nested_customers(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, supplier: DataFrame, part: DataFrame, copies: int = 1) -> DataFrame:
-    """Customers that hold their orders, which hold their lines with supplier and part; a copy number makes replicas."""
+    """All customers, with their orders, which hold their lines with supplier and part (an empty array where there are none); a copy number makes replicas."""
     lines = (
         lineitem.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.struct("s_suppkey", "s_name").alias("supplier")), "l_suppkey")
         .join(part.select(F.col("p_partkey").alias("l_partkey"), F.struct("p_partkey", "p_name").alias("part")), "l_partkey")
         .groupBy("l_orderkey")
         .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "supplier", "part"))).alias("lines"))
     )
+    def or_none(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, F.coalesce(F.col(name), F.array().cast(df.schema[name].dataType)))
+
     held = (
-        orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
+        or_none(orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left"), "lines")
         .groupBy("o_custkey")
         .agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice", "lines"))).alias("orders"))
     )
-    out = customer.join(held, customer["c_custkey"] == held["o_custkey"]).drop("o_custkey")
+    out = or_none(customer.join(held, customer["c_custkey"] == held["o_custkey"], "left").drop("o_custkey"), "orders")
     return out if copies == 1 else out.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))

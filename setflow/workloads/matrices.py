@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setflow.la.language import Program
 from setflow.la.matrix import Matrix, Shape
-from setflow.workloads.shared import keeper
+from setflow.workloads.shared import numbered
 
 ROWS, COLS, WIDTH = 50, 16, 64
 
 
 def row_numbers(df: DataFrame) -> DataFrame:
-    """(i, embedding): rows numbered from 0 in the order of vec_id; one number for each range meets in a single task."""
+    """(i, embedding): rows numbered from 0 in the order of vec_id."""
     order = ("vec_id", "embedding")
-    dealt = df.select(*order).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
-    dealt = keeper(df.sparkSession)(dealt.withColumn("part", F.spark_partition_id()))
-    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumn("place", place).join(before, "part").select((F.col("place") + F.col("before")).alias("i"), "embedding")
+    return numbered(df.select(*order), order, "i").select("i", "embedding")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> Matrix:
@@ -45,7 +41,7 @@ def program(text: str, cells: bool = True) -> Callable[[SparkSession, str], Data
     return run
 
 
-_A = "A AS (SELECT vec_id AS i, CAST(pos - 1 AS BIGINT) AS j, round(CAST(v AS DOUBLE) * 1000) + 0.0::DOUBLE AS v FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, 65)) AS pos FROM embeddings) WHERE vec_id < (SELECT count(*) // 50 * 50 FROM embeddings))"
+_A = "A AS (SELECT i, CAST(pos - 1 AS BIGINT) AS j, round(CAST(v AS DOUBLE) * 1000) + 0.0::DOUBLE AS v FROM (SELECT i, unnest(embedding) AS v, unnest(range(1, 65)) AS pos FROM (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS i, embedding FROM embeddings)))"
 _n = "(SELECT count(DISTINCT i) FROM A)"
 PROGRAMS: dict[str, tuple[str, str]] = {
     "la_add": ("out = A + A", "SELECT i, j, v + v AS v FROM A"),

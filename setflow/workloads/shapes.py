@@ -177,8 +177,10 @@ def strings() -> Computation:
 
 
 def vectors() -> Computation:
-    """Products, norms and distances of embeddings to their own reversal."""
+    """Products, norms and distances of embeddings to their own reversal; `fast` has norms that differ, `fast_far` both far from zero."""
     turned = F.reverse
+    twice = lambda v: F.transform(F.reverse(v), lambda x: x.cast("double") * 2)
+    far = lambda v: F.transform(v, lambda x: x.cast("double") + 1e6)
     return Select(
         scan("embeddings"),
         fields=lambda e: {
@@ -186,7 +188,8 @@ def vectors() -> Computation:
             "dot": e["embedding"].apply(lambda v: F.round(X.dot(v, turned(v)), 5)),
             "norm": e["embedding"].apply(lambda v: F.round(X.norm2(v), 5)),
             "distance": e["embedding"].apply(lambda v: F.round(X.squared_distance(v, turned(v)), 5)),
-            "fast": e["embedding"].apply(lambda v: F.round(X.fast_squared_distance(v, X.norm2(v), turned(v), X.norm2(turned(v))), 5)),
+            "fast": e["embedding"].apply(lambda v: F.round(X.distance_by_norms(v, X.norm2(v), twice(v), X.norm2(twice(v))), 5)),
+            "fast_far": e["embedding"].apply(lambda v: F.round(X.distance_by_norms(far(v), X.norm2(far(v)), far(turned(v)), X.norm2(far(turned(v)))), 5)),
         },
     )
 
@@ -254,7 +257,8 @@ ORACLE = {
       instr(p_name, 's') > 0 AND instr(substr(p_name, instr(p_name, 's') + 1), 'ring') > 0 AS ordered, CAST(length(p_name) AS INTEGER) AS n, p_brand || '-' || CAST(p_size AS VARCHAR) AS label FROM part""",
     "vectors": f"""WITH v AS (SELECT vec_id, {_V} AS a, list_reverse({_V}) AS b FROM embeddings)
       SELECT vec_id, round(list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])), 5) AS dot, round(sqrt(list_sum(list_transform(a, lambda x: x * x))), 5) AS norm,
-      round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 5) AS distance, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 5) AS fast FROM v""",
+      round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 5) AS distance, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - 2 * p[2]) * (p[1] - 2 * p[2]))), 5) AS fast,
+      round(list_sum(list_transform(list_zip(a, b), lambda p: ((p[1] + 1000000) - (p[2] + 1000000)) * ((p[1] + 1000000) - (p[2] + 1000000)))), 5) AS fast_far FROM v""",
 }
 from setflow.workloads.tpch import ORACLE as _TPCH  # noqa: E402
 

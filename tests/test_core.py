@@ -154,6 +154,100 @@ def test_sets(spark, tmp_path):
         own.remove_database("sf_test")
 
 
+def test_joins_read_bucketed_copies(spark):
+    """Two sets partitioned by the join key are joined without a shuffle, until one of them changes."""
+    types = TypeRegistry()
+    types.register("Pair", "k INT, s STRING")
+    own = SetStore(spark, types)
+    own.create_database("sf_copies")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("a", "b"):
+            own.create_set("sf_copies", name, "Pair")
+            own.send_data("sf_copies", name, [(k % 7, f"{name}{k}") for k in range(40)])
+        join = lambda: own.frame(Join(Scan("sf_copies", "a"), Scan("sf_copies", "b"), where=lambda a, b: (a["k"] == b["k"]) & (a["s"] < b["s"]), fields=lambda a, b: {"x": a["s"], "y": b["s"]}))
+        shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+        want = rows(join())
+        assert shuffles(join()) == 2
+        own.partition_set("sf_copies", "a", "a_by_k", "k", 3)
+        own.partition_set("sf_copies", "b", "b_by_k", "k", 3)
+        own.partition_set("sf_copies", "b", "b_keys", "k", 3, keys_only=True)
+        assert shuffles(join()) == 0 and rows(join()) == want
+        own.send_data("sf_copies", "a", [(3, "a99")])
+        assert own.bucketed("sf_copies", "a", "k") is None and own.bucketed("sf_copies", "b", "k") is not None
+        assert len(join().collect()) > len(want) and SetStore(spark, types).bucketed("sf_copies", "a", "k") is None
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        own.remove_database("sf_copies")
+
+
+def test_bytes_of_rows(spark):
+    import pyarrow as pa
+
+    types = TypeRegistry()
+    types.register("Pair", "k INT, s STRING")
+    own = SetStore(spark, types)
+    own.create_database("sf_bytes")
+    try:
+        own.create_set("sf_bytes", "pairs", "Pair")
+        sink, table = pa.BufferOutputStream(), pa.table({"s": ["a", None], "k": pa.array([1, 2], pa.int32())})
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        assert own.send_bytes("sf_bytes", "pairs", sink.getvalue().to_pybytes()) == 2
+        own.flush("sf_bytes", "pairs")
+        assert rows(own.read("sf_bytes", "pairs")) == [(1, "a"), (2, None)]
+    finally:
+        own.remove_database("sf_bytes")
+
+
+def test_aggregate_without_combiner(store):
+    def make():
+        return Aggregate(Scan("d", "b"), lambda b: {"k": b["k"]}, lambda b: {"n": count_of(), "w": sum_of(b["w"])})
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    off = store.frame(make().set_using_combiner(False))
+    assert rows(off) == rows(store.frame(make())) == [(1, 1, 10), (2, 2, 41), (3, 1, 30)]
+    first = [line for line in plan(off).splitlines() if "Exchange" in line or "HashAggregate" in line]
+    assert "HashAggregate" in first[0] and "Exchange" in first[-1]  # nothing is folded below the shuffle
+
+
+def test_joins_take_keyed_inputs_first(store):
+    """Keys only to the third input: no product of the first two."""
+    three = Join(Scan("d", "a"), Scan("d", "b"), Scan("d", "b"), where=lambda a, b, c: (a["k"] == c["k"]) & (b["w"] == c["w"]), fields=lambda a, b, c: {"s": a["s"], "w": b["w"]})
+    df = store.frame(three)
+    assert rows(df) == [("x", 10), ("x", 20), ("x", 21), ("y", 20), ("y", 21)]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "Cross" not in plan
+
+
+def test_distances_by_norms_and_rounding(spark):
+    """Both ways of the distance, and the rounding test on both sides of zero."""
+    data = [([1.0, 2.0], [4.0, 6.0]), ([1e8 + 1, 1e8], [1e8, 1e8]), ([1e6 + 0.1] * 64, [1e6] * 64), ([0.0, 0.0], [0.0, 0.0])]
+    df = spark.createDataFrame(data, "a array<double>, b array<double>")
+    near = X.distance_by_norms(F.col("a"), X.norm2(F.col("a")), F.col("b"), X.norm2(F.col("b")))
+    got = [r[0] for r in df.select(near).collect()]
+    assert np.allclose(got, [25.0, 1.0, 64 * ((1e6 + 0.1) - 1e6) ** 2, 0.0], rtol=1e-8, atol=0)
+    values = [0.0, 0.4, 0.5, 1.49, 1.5, 7.99, -0.3, -0.7, -1.2, -1.5, -1.7, None]
+    cut = lambda v, d: int(v / d)  # noqa: E731  towards zero
+    want = [None if v is None else cut(int(v * 10) + 5, 10) == cut(int(v * 10), 10) for v in values]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(X.rounds_to_its_whole_part(F.col("x"))).collect()] == want
+    assert True in want and False in want
+
+
+def test_nested_objects_without_parts(spark, small):
+    """A customer without orders and an order without lines stay, with empty arrays."""
+    own = tpch.store(spark, small)
+    t = {n: own.read("tpch", n) for n in ("customer", "orders", "lineitem", "supplier", "part")}
+    t["lineitem"] = t["lineitem"].where("l_orderkey % 3 != 0")
+    t["orders"] = t["orders"].where("o_custkey % 5 != 0")
+    from setflow.sources.files import nested_customers
+
+    found = nested_customers(**t)
+    assert found.count() == t["customer"].count()
+    assert found.where("size(orders) = 0").count() >= t["customer"].where("c_custkey % 5 = 0").count() > 0
+    assert found.selectExpr("sum(size(orders))").first()[0] == t["orders"].count()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "r.tbl").write_text("0|AFRICA|a comment|\n1|ASIA||\n")
     assert rows(read_tbl(spark, str(tmp_path / "r.tbl"), TPCH["region"])) == [(0, "AFRICA", "a comment"), (1, "ASIA", None)]
