@@ -196,4 +196,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_substring_dedup": rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{C.WORD}') AS words FROM documents
+), windows AS (
+  SELECT doc_id, place, array_to_string(words[place:place + {WINDOW - 1}], ' ') AS passage
+  FROM (SELECT *, unnest(range(1, len(words) - {WINDOW - 2})) AS place FROM texts WHERE len(words) >= {WINDOW})
+), repeated AS (
+  SELECT doc_id, place FROM (SELECT *, count(*) OVER (PARTITION BY passage) AS n FROM windows) WHERE n > 1
+), each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
+), marked AS (
+  SELECT e.doc_id, e.word, e.place, max(r.place) OVER (PARTITION BY e.doc_id ORDER BY e.place) AS last
+  FROM each e LEFT JOIN repeated r ON e.doc_id = r.doc_id AND e.place = r.place
+), kept AS (
+  SELECT doc_id, count(*) FILTER (last > place - {WINDOW}) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (last IS NULL OR last <= place - {WINDOW}) AS kept_text
+  FROM marked GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id"""
+}
