@@ -9,6 +9,7 @@ from setflow.functions import scalars as X
 from setflow.functions.terms import native
 from setflow.operators.computations import Aggregate, Computation, Fold, Join, MultiSelect, Partition, PartitionTransform, Scan, Select, TopK, avg_of, count_of, exact_sum_of, fold, list_of, max_of, min_of
 from setflow.types import REGISTRY
+from setflow.workloads.shared import drawn
 from setflow.workloads.tpch import DB, A, D, S, graph_query, scan
 
 REGISTRY.register("Customer", None, balanceBand=lambda row: F.floor(row["c_acctbal"] / 1000).cast("long"), nationOf=lambda row: row["c_nationkey"])
@@ -255,6 +256,9 @@ ORACLE = {
     "partition_transform": "SELECT l_partkey FROM lineitem",
     "strings": """SELECT p_partkey, ends_with(p_name, 'ring') AS suffix, ends_with(p_name, 'small ring') AND length(p_name) > 10 AS strict, starts_with(p_type, 'PROMO') AS prefix, substr(p_name, 1, 2) AS head,
       instr(p_name, 's') > 0 AND instr(substr(p_name, instr(p_name, 's') + 1), 'ring') > 0 AS ordered, CAST(length(p_name) AS INTEGER) AS n, p_brand || '-' || CAST(p_size AS VARCHAR) AS label FROM part""",
+    "sampled": f"""WITH f AS (SELECT 200.0::DOUBLE / count(*) AS share, -ln(0.0001::DOUBLE) / count(*) AS g FROM embeddings),
+      q AS (SELECT least(1.0::DOUBLE, greatest(1e-10::DOUBLE, share + g + sqrt(g * g + 2 * g * share))) AS q FROM f)
+      SELECT vec_id, label FROM embeddings WHERE {drawn('vec_id', 7)} < (SELECT q FROM q)""",
     "vectors": f"""WITH v AS (SELECT vec_id, {_V} AS a, list_reverse({_V}) AS b FROM embeddings)
       SELECT vec_id, round(list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])), 5) AS dot, round(sqrt(list_sum(list_transform(a, lambda x: x * x))), 5) AS norm,
       round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 5) AS distance, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - 2 * p[2]) * (p[1] - 2 * p[2]))), 5) AS fast,
