@@ -2,167 +2,41 @@
 
 Method. A text's k-mers are its runs of CHARS code points (shorter at its end, so n code points give n k-mers);
 equal k-mers are numbered by occurrence. Each numbered k-mer is hashed once; the hash names one of BINS bins and a
-rank in it. In each bin the PICK k-mers of least rank are put back into text order, and the hash of that tuple is the
+rank in it. In each bin the two k-mers of least rank are put back into text order, and the hash of that tuple is the
 bin's part of the signature. A bin matches another text's only if the same k-mers occur in the same order. (One
 hash split into bins stands for as many permutations.) Likeness is the share of matching bins among those that are
 filled in either text; two empty texts are alike.
 
-Signatures are made with numpy. `fingerprints` is a coarser form of DataFrame functions only, over runs of K words; the query
-doesn't use it.
+The next document. Rows are dealt to ranges of (key, hash of the text, a salt), so that even a key or a row that very many
+rows share is spread, and sorted in them. A task goes through its range once and holds one row back, whose next one comes
+after it; only the last row of each range waits for the first text of the next range. Ranges number one for each RANGE_BYTES, MOST_RANGES
+at most; longer ranges are streamed all the same.
 
-The next document. Documents are dealt to ranges of keys, cut at approximate quantiles, and ordered within a range; only the
-first document of each range is looked up from the range before. Rows of equal keys follow in the order of their texts;
-null keys come first.
-
-Defined cases: a null text is empty and has an empty signature; a single document is its own next; equal texts have equal
-fingerprints, whatever their keys; positions count modulo 2**26, beyond which only the order within a tuple can
-change; an empty table gives an empty result; input columns named like an output column are replaced.
+Defined cases: a null text is empty and has an empty signature; a text of any length is signed whole, in one task; a single
+document is its own next; rows of equal keys follow in the order of a hash of their texts, equal rows in any; null keys come first;
+keys are numbers; equal texts have equal fingerprints, whatever their keys; positions count modulo 2**26, beyond which only the
+order within a tuple can change; an empty table gives an empty result; input columns named like an output column are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setflow.llm import common as C
 
 CHARS = 5
-K = 2
 BINS_LOG2 = 6
 POSITION_BITS = 26
-RANGE_BYTES = 8 << 20
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 15
 OUT = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
-def indices(n: Column) -> Column:
-    """0 to n - 1."""
-    return F.slice(F.sequence(F.lit(0), n), 1, n)
-
-
-def signature(text: Column) -> Column:
-    """One long for each filled bin, in the order of bins: the bin in the high bits, then a hash of its tuple."""
-    low = (1 << POSITION_BITS) - 1
-    shift = 64 - BINS_LOG2
-
-    def kmer(hashes: Column, i: Column) -> Column:
-        whole = F.xxhash64(*(F.get(hashes, i + k) for k in range(K)))
-        return F.shiftleft(F.shiftright(whole, POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low)))
-
-    def group(x: Column) -> Column:
-        return F.shiftright(x, POSITION_BITS)
-
-    def numbered(kmers: Column) -> Column:
-        """Hash of (k-mer, occurrence) over the position, from k-mers in order."""
-        starts = F.filter(indices(F.size(kmers)), lambda i: (i == 0) | (group(F.get(kmers, i)) != group(F.get(kmers, i - 1))))
-
-        def of_run(start: Column, end: Column) -> Column:
-            def one(i: Column) -> Column:
-                whole = F.xxhash64(group(F.get(kmers, i)), i - start)
-                return F.shiftleft(F.shiftright(whole, POSITION_BITS), POSITION_BITS).bitwiseOR(F.get(kmers, i).bitwiseAND(F.lit(low)))
-
-            return F.transform(F.sequence(start, end - 1), one)
-
-        return let(starts, lambda s: F.flatten(F.transform(s, lambda a, j: of_run(a, F.coalesce(F.get(s, j + 1), F.size(kmers))))))
-
-    def picked(ranked: Column) -> Column:
-        """The two least of each bin, from (bin, rank, position) in order."""
-        return F.filter(ranked, lambda x, i: (i < 2) | (F.shiftrightunsigned(x, shift) != F.shiftrightunsigned(F.get(ranked, i - 2), shift)))
-
-    def tuples(x: Column) -> Column:
-        def part(a: Column, b: Column) -> Column:
-            """Of the first of a bin and its follower, if that is in the bin."""
-            pos = lambda v: v.bitwiseAND(F.lit(low))
-            pair = F.when(b.isNull(), F.xxhash64(group(a))).when(pos(a) <= pos(b), F.xxhash64(group(a), group(b))).otherwise(F.xxhash64(group(b), group(a)))
-            return F.shiftleft(F.shiftrightunsigned(a, shift), shift).bitwiseOR(F.shiftrightunsigned(pair, BINS_LOG2))
-
-        def same(i: Column, j: Column) -> Column:
-            return F.shiftrightunsigned(F.get(x, i), shift) == F.shiftrightunsigned(F.get(x, j), shift)
-
-        heads = F.filter(indices(F.size(x)), lambda i: (i == 0) | ~same(i, i - 1))
-        return F.transform(heads, lambda i: part(F.get(x, i), F.when(same(i, i + 1), F.get(x, i + 1))))
-
-    words = F.regexp_extract_all(text, F.lit(C.WORD), F.lit(0))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    kmers = let(hashes, lambda h: F.transform(h, lambda _, i: kmer(h, i)))
-    ranked = let(F.sort_array(kmers), numbered)
-    return let(F.sort_array(ranked), lambda r: let(picked(r), tuples))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    bins = lambda x: F.transform(x, lambda v: F.shiftrightunsigned(v, 64 - BINS_LOG2))
-    filled = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
-
-
-def as_text(signature: Column) -> Column:
-    return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
-
-
-def range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below key, looked up in two steps."""
-    if not bounds:
-        return F.pmod(key, F.lit(1)).cast("int")  # one range, but no constant
-    step = max(1, int(len(bounds) ** 0.5))
-    every = F.array(*(F.lit(b) for b in bounds))
-    coarse = F.array(*(F.lit(b) for b in bounds[step - 1 :: step]))
-    first = F.size(F.filter(coarse, lambda b: b < key)) * step
-    return let(first, lambda c: c + F.size(F.filter(F.slice(every, c + 1, step), lambda b: b < key)))
-
-
-def with_next(df: DataFrame, text: str, key: str, range_bytes: int = RANGE_BYTES, signed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """df with __sf_key, __sf_text and __sf_range; and for each range (__sf_of) the first text of the next, with its signature over words if wanted."""
-    own = df.withColumns({"__sf_key": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), "__sf_text": F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))})
-    n = max(1, -(-C.text_bytes(df, text) // range_bytes))
-    ids = own.select("__sf_key")
-    bounds = sorted({int(b) for b in ids.stat.approxQuantile("__sf_key", [k / n for k in range(1, n)], 1 / (8 * n))}) if n > 1 else []
-    dealt = own.withColumn("__sf_range", range_of(F.col("__sf_key"), bounds))
-    # one row for each range
-    firsts = C.materialise(dealt.groupBy("__sf_range").agg(F.min("__sf_key").alias("first")))
-    order = Window.orderBy("__sf_range")
-    following = firsts.select("__sf_range", F.coalesce(F.lead("first").over(order), F.min("first").over(Window.partitionBy(F.lit(0)))).alias("first"))
-    texts = own.join(firsts.select("first"), F.col("__sf_key") == F.col("first"), "left_semi").groupBy("__sf_key").agg(F.min("__sf_text").alias("__sf_first_text"))
-    looked_up = following.join(texts, F.col("first") == F.col("__sf_key")).select(F.col("__sf_range").alias("__sf_of"), "__sf_first_text", *([signature(F.col("__sf_first_text")).alias("__sf_first_sig")] if signed else []))
-    return dealt, C.materialise(looked_up)
-
-
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """df with n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
-    dealt, firsts = with_next(C.without(df, *OUT), text, key, range_bytes)
-    order = Window.partitionBy("__sf_range").orderBy("__sf_key", "__sf_text")
-    led = dealt.withColumn("__sf_lead", F.lead("__sf_text").over(order))
-    joined = led.join(firsts, F.col("__sf_range") == F.col("__sf_of"))
-    n = F.char_length("__sf_text")
-    half = F.floor(n / 2).cast("int")
-    following = F.coalesce("__sf_lead", "__sf_first_text")
-    edited = F.concat(F.substring("__sf_text", F.lit(1), n - half), F.substring(following, F.lit(1), half))
-    both = joined.withColumns({"n_chars": n.cast("long"), "__sf_edited": edited}).drop("__sf_lead", "__sf_first_text")
-    signed = both.withColumns({"edited_sha256": F.sha2("__sf_edited", 256), "__sf_sig": signature(F.col("__sf_text")), "__sf_edited_sig": signature(F.col("__sf_edited"))}).drop("__sf_edited")
-    after = F.coalesce(F.lead("__sf_sig").over(order), "__sf_first_sig")
-    found = signed.withColumn("__sf_after", after)
-    out = found.withColumns(
-        {
-            "fingerprint": as_text(F.col("__sf_sig")),
-            "edited_fingerprint": as_text(F.col("__sf_edited_sig")),
-            "near_edited": likeness(F.col("__sf_sig"), F.col("__sf_edited_sig")),
-            "near_next": likeness(F.col("__sf_sig"), F.col("__sf_after")),
-        }
-    )
-    return out.drop("__sf_key", "__sf_text", "__sf_range", "__sf_of", "__sf_first_sig", "__sf_sig", "__sf_edited_sig", "__sf_after")
-
-
-# --- over characters ------------------------------------------------------------------------------
-
 _U = np.uint64
 _ODD = np.array([0x9E6C63D0876A9A35, 0xB17A4F2C91D3E585, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], _U)
 _LOW = _U((1 << POSITION_BITS) - 1)
@@ -207,39 +81,86 @@ def character_likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np
     return np.count_nonzero((a[0] == b[0]) & a[1] & b[1]) / n if n else 1.0
 
 
-def signer(names: list[str], text: str, following: str):
+def row_of(own: str, after: str, sig: tuple, after_sig: tuple) -> tuple:
+    """The output columns of a text with these signatures of its own and of the next text."""
+    half = len(own) // 2
+    edited = own[: len(own) - half] + after[:half]
+    changed = sig if edited == own else character_signature(edited)
+    shown = (x[0][x[1]].astype(">u8").tobytes().hex() for x in (sig, changed))
+    return len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *shown, character_likeness(sig, changed), character_likeness(sig, after_sig)
+
+
+KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+#: Of a range's first and last row: the number of the range and the text; else null.
+ENDS = ("__sf_first_of", "__sf_last_of", "__sf_end_text")
+
+
+def signer(names: list[str]):
+    """Rows of a range in order; the last one's output columns stay null."""
+
+    def batch_of(kept: list, rows: list[tuple | None], ends: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([k[n] for k in kept]) for n in range(len(names))]
+        out = [pa.array([r[i] if r else None for r in rows], t) for i, t in enumerate(KINDS)]
+        marks = [pa.array([e[i] for e in ends], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*columns, *out, *marks], names=[*names, *OUT, *ENDS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, tuple] = ("", character_signature(""))  # mostly a row's following text is the next row's own
+        from pyspark import TaskContext
+
+        part = context.partitionId() if (context := TaskContext.get()) else 0
+        held: tuple | None = None  # (kept columns, text, signature) of the row before
+        first = True
         for batch in batches:
-            out: list[list] = [[] for _ in OUT]
-            for own, after in zip(batch[text].to_pylist(), batch[following].to_pylist()):
-                half = len(own) // 2
-                edited = own[: len(own) - half] + after[:half]
-                sig = last[1] if last[0] == own else character_signature(own)
-                changed = sig if edited == own else character_signature(edited)
-                last = (after, sig if after == own else character_signature(after))
-                row = (len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *(x[0][x[1]].astype(">u8").tobytes().hex() for x in (sig, changed)), character_likeness(sig, changed), character_likeness(sig, last[1]))
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *(pa.array(v, t) for v, t in zip(out, kinds))], names=[*names, *OUT])
+            kept, rows, ends = [], [], []
+            for k, text in enumerate(batch["__sf_text"].to_pylist()):
+                own = ([batch[n].slice(k, 1) for n in names], text, held[2] if held and held[1] == text else character_signature(text))
+                if held:
+                    kept.append(held[0])
+                    rows.append(row_of(held[1], text, held[2], own[2]))
+                    ends.append((part, None, held[1]) if first else (None, None, None))
+                    first = False
+                held = own
+            if kept:
+                yield batch_of(kept, rows, ends)
+        if held:
+            yield batch_of([held[0]], [None], [(part if first else None, part, held[1])])
         C.release()
 
     return run
 
 
+def finisher(names: list[str]):
+    """The last rows of ranges, with the text that follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row_of(own, after, character_signature(own), character_signature(after)) for own, after in zip(batch["__sf_end_text"].to_pylist(), batch["__sf_after"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(KINDS))], names=[*names, *OUT])
+
+    return run
+
+
 def character_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = RANGE_BYTES, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of df with n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     C.bounded_batches(df.sparkSession)
-    own = C.without(df, *OUT)
-    names = [n for n in (keep if keep is not None else own.columns) if n in own.columns]
-    dealt, firsts = with_next(own, text, key, range_bytes, signed=False)
-    order = Window.partitionBy("__sf_range").orderBy("__sf_key", "__sf_text")
-    led = dealt.withColumn("__sf_lead", F.lead("__sf_text").over(order)).join(firsts, F.col("__sf_range") == F.col("__sf_of"))
-    both = led.select(*[F.col(f"`{n}`") for n in names], "__sf_text", F.coalesce("__sf_lead", "__sf_first_text").alias("__sf_following"))
+    kept = [n for n in (keep if keep is not None else df.columns) if n.lower() not in OUT]
+    own = df.select(*[F.col(f"`{n}`") for n in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__sf_text"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("__sf_key"))
+    ranges = min(MOST_RANGES, max(1, -(-C.text_bytes(df, text) // range_bytes)))
+    order = ("__sf_key", "__sf_hash", "__sf_salt")
+    salted = own.withColumns({"__sf_hash": F.xxhash64("__sf_text"), "__sf_salt": F.monotonically_increasing_id()})
+    dealt = salted.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     kinds = (T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType())
-    schema = T.StructType([*both.schema.fields[: len(names)], *(T.StructField(n, t) for n, t in zip(OUT, kinds))])
-    return both.mapInArrow(signer(names, "__sf_text", "__sf_following"), schema)
+    columns = [*own.schema.fields[: len(kept)], *(T.StructField(n, t) for n, t in zip(OUT, kinds))]
+    marks = [T.StructField(ENDS[0], T.IntegerType()), T.StructField(ENDS[1], T.IntegerType()), T.StructField(ENDS[2], T.StringType())]
+    signed = C.materialise(dealt.select(*[F.col(f"`{n}`") for n in kept], "__sf_text").mapInArrow(signer(kept), T.StructType([*columns, *marks])))
+    firsts = signed.where("__sf_first_of IS NOT NULL").select(F.col("__sf_first_of").alias("range"), F.col("__sf_end_text").alias("first_text"))  # one row for each range
+    following = firsts.select("range", F.lead("range").over(Window.orderBy("range")).alias("next"), F.min("range").over(Window.partitionBy(F.lit(0))).alias("least"))
+    following = following.select(F.col("range").alias("__sf_range"), F.coalesce("next", "least").alias("__sf_next"))
+    after = firsts.select(F.col("range").alias("__sf_of"), F.col("first_text").alias("__sf_after"))
+    last = signed.where("__sf_last_of IS NOT NULL").select(*[F.col(f"`{n}`") for n in kept], "__sf_last_of", "__sf_end_text")
+    last = last.join(following, F.col("__sf_last_of") == F.col("__sf_range")).join(after, F.col("__sf_next") == F.col("__sf_of"))
+    done = last.select(*[F.col(f"`{n}`") for n in kept], "__sf_end_text", "__sf_after").mapInArrow(finisher(kept), T.StructType(columns))
+    return signed.where("__sf_last_of IS NULL").drop(*ENDS).unionByName(done)
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

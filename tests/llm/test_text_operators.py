@@ -445,57 +445,6 @@ def test_source_mix(spark):
     assert source_mix.mix(empty(spark)).count() == 0
 
 
-def chain(values):
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64_intdigest(struct.pack("<Q", v & common.MASK), seed)
-    return seed
-
-
-def signed(v):
-    return v - (1 << 64) if v >> 63 else v
-
-
-def naive_signature(text):
-    low, bins = (1 << order_minhash.POSITION_BITS) - 1, order_minhash.BINS_LOG2
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
-    kmers = sorted((signed(chain(hashes[i : i + order_minhash.K])) >> 26, i) for i in range(len(hashes)))
-    seen: collections.Counter = collections.Counter()
-    by = collections.defaultdict(list)
-    for kmer, i in kmers:
-        whole = xxhash.xxh64_intdigest(struct.pack("<I", seen[kmer]), xxhash.xxh64_intdigest(struct.pack("<Q", kmer & common.MASK), 42))
-        seen[kmer] += 1
-        value = signed((signed(whole) >> 26 << 26 | i) & common.MASK)
-        by[(value & common.MASK) >> (64 - bins)].append(value)
-    out = []
-    for b, own in by.items():
-        pair = sorted(sorted(own)[:2], key=lambda v: v & low)
-        out.append((b, b << (64 - bins) | chain([v >> 26 for v in pair]) >> bins))
-    return out
-
-
-def naive_likeness(a, b):
-    filled = {x for x, _ in a} | {x for x, _ in b}
-    return len(set(a) & set(b)) / len(filled) if filled else 1.0
-
-
-@pytest.mark.parametrize("range_bytes", [8 << 20, 3000])
-def test_order_minhash(spark, range_bytes):
-    got = order_minhash.fingerprints(frame(spark).drop("n_chars"), range_bytes=range_bytes).collect()
-    data = sorted(((r[0] if r[0] is not None else -(1 << 63), r[1] or "") for r in rows()), key=lambda r: (r[0], r[1].encode()))
-    want = collections.Counter()
-    for k, (i, text) in enumerate(data):
-        after = data[(k + 1) % len(data)][1]
-        half = len(text) // 2
-        edited = text[: len(text) - half] + after[:half]
-        a, b, c = naive_signature(text), naive_signature(edited), naive_signature(after)
-        key = lambda s: "".join(f"{v:016x}" for _, v in sorted(s, key=lambda x: signed(x[0] << 58)))
-        want[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), key(a), key(b), naive_likeness(a, b), naive_likeness(a, c)] += 1
-    names = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    assert collections.Counter((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), *(r[n] for n in names)) for r in got) == want
-    assert order_minhash.fingerprints(empty(spark)).count() == 0
-
-
 def naive_order(text):
     """(bin, pair of (k-mer, occurrence) in the order of the text) of each filled bin, with the module's own mixing of single values."""
     mixed = lambda *v: int(common.mix(np.array([sum(a * int(b) for a, b in zip(v, order_minhash._ODD[1:])) + int(order_minhash._ODD[3]) * (len(v) == 2) & common.MASK], np.uint64))[0])
@@ -529,6 +478,22 @@ def test_order_minhash_of_characters(spark, range_bytes):
     assert order_minhash.character_fingerprints(empty(spark)).count() == 0
 
 
+def test_order_minhash_of_hot_keys(spark):
+    """A third of the rows are one row, a third have one key; every row has the right next text, over ranges too."""
+    data = [(5, "the same words again and again " * 3)] * 200 + [(7, f"text number {k} of one key") for k in range(200)] + [(10 + k, f"a text of its own {k * k}") for k in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = order_minhash.character_fingerprints(df, range_bytes=1000).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t in data)
+    sha = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    same = [r for r in got if r["doc_id"] == 5]
+    assert sum(r["near_next"] == 1.0 and r["edited_sha256"] == sha(data[0][1], data[0][1]) for r in same) == 199
+    by = {r["doc_id"]: r for r in got if r["doc_id"] >= 10}
+    assert all(by[10 + k]["edited_sha256"] == sha(data[400 + k][1], data[401 + k][1]) for k in range(199))
+    assert by[209]["edited_sha256"] == sha(data[599][1], data[0][1])  # after the last comes the first
+    one = order_minhash.character_fingerprints(spark.createDataFrame([(3, "alone here", 1.5, "x")], "doc_id long, text string, near_next double, fingerprint string")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == sha("alone here", "alone here")
+
+
 def test_order_minhash_without_white_space(spark, tmp_path):
     """One changed character of a text without white space leaves most of its fingerprint; so do typos in every second word."""
     chinese = "".join(chr(0x4E00 + (i * i * 7919 + i * 31) % 5000) for i in range(400))
