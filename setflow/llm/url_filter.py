@@ -4,14 +4,14 @@ Method (DataFrame functions only). Links in html become edges between hosts, sum
 links to itself carry nothing. A host is a trusted seed if rules allow over half of its pages, and a blocked seed if they
 block over half. Trust is personalised PageRank from the trusted seeds along the edges; distrust is the same from the
 blocked seeds against the edges: a host that links to blocked hosts takes distrust. A host is blocked where its distrust
-is above its trust. Every round joins the edges with what the last one moved and sums by host; rounds go on until no new
+is above its trust by more than rounding (a share of TIE). What reaches a host without links ahead ends there. Every round joins the edges with what the last one moved and sums by host; rounds go on until no new
 host is reached and what is still to move is below TOLERANCE of all mass.
 
 A rule `host/path` fits its host and all subdomains if the url's path starts with /path; the longest that fits decides.
 Rules are a list in the program, so they are tested in one expression.
 
-Defined cases: a null url or one without `://`: empty host and path, no rule, allow; null html has no links; repeated
-pages count as often as they occur; hosts without any score: allow; an empty table gives an empty result; input columns named
+Defined cases: a null url or one without `://`: empty host and path, no rule, allow; null and empty html has no links; html of any length
+is read whole; repeated pages count as often as they occur; hosts without any score, and those of equal trust and distrust: allow; an empty table gives an empty result; input columns named
 like an output column are replaced.
 """
 
@@ -30,6 +30,8 @@ DAMPING = 0.85
 ROUNDS = 10
 #: Mass that may be left to move when rounds end.
 TOLERANCE = 1e-9
+#: Scores are sums in any order; so much of the trust is no difference.
+TIE = 1e-9
 OUT = ("host", "path", "rule", "verdict")
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,7 +107,7 @@ def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int | None
     trust = spread(seeds("good"), shares("src", "dst") if linked else None, damping, rounds if linked else 0)
     distrust = spread(seeds("bad"), shares("dst", "src") if linked else None, damping, rounds if linked else 0)
     both = distrust.withColumnRenamed("score", "distrust").join(trust.withColumnRenamed("score", "trust"), "host", "left")
-    return C.materialise(both.where(F.col("distrust") > F.coalesce("trust", F.lit(0.0))).select(F.col("host").alias("__sf_host"), F.lit("block").alias("host_verdict")))
+    return C.materialise(both.where(F.col("distrust") > F.coalesce("trust", F.lit(0.0)) * (1 + TIE)).select(F.col("host").alias("__sf_host"), F.lit("block").alias("host_verdict")))
 
 
 def judge(df: DataFrame, url: str = "url", html: str = "html", rules=RULES, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
@@ -150,7 +152,7 @@ def _oracle() -> str:
                 f"SELECT dst AS host, {DAMPING}::DOUBLE * score * share AS score FROM {name}e JOIN {name}{k - 1} ON src = host) GROUP BY host)"
             )
     return (
-        "WITH " + ",\n".join(parts) + f"\nSELECT page_id, r.host, path, rule, coalesce(rv, CASE WHEN d.score > coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict "
+        "WITH " + ",\n".join(parts) + f"\nSELECT page_id, r.host, path, rule, coalesce(rv, CASE WHEN d.score > coalesce(t.score, 0) * (1 + {TIE}::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict "
         f"FROM ruled r LEFT JOIN d{ROUNDS} d ON r.host = d.host LEFT JOIN t{ROUNDS} t ON r.host = t.host"
     )
 
