@@ -5,11 +5,12 @@ lines, ...), each cut into bins; a line's features are its own bins and those of
 labels every line good or bad; forward-backward marginals, weighted by line length, add up to a document's
 share of good text, which one logistic curve turns into its score.
 
-Training. Lines take the label of their document. At most SAMPLE labelled documents of at most SAMPLE_BYTES bytes, the
-first by a hash of their keys outside the held-out fold, teach bins, weights and curve; the fit runs on the driver over
-their bins alone. The model is a few thousand numbers.
+Training. Lines take the label of their document. At most SAMPLE labelled documents of at most SAMPLE_BYTES bytes and SAMPLE_LINES
+lines, the first by a hash of their keys outside the held-out fold, teach bins, weights and curve; the fit runs on the driver
+over their bins alone, at most SAMPLE * SAMPLE_LINES rows of 72 bytes. The model is a few thousand numbers. Every text is scored whole.
 
-Defined cases: null and empty texts have one empty line and get its score; lines end at \\n; a repeated label row counts
+Defined cases: null and empty texts have one empty line and get its score; a text of any length is scored whole, in one task; equal texts
+have equal scores, and documents of equal hashes teach in the order of their keys; lines end at \\n; a repeated label row counts
 again; null labels and labels of missing documents teach nothing; without two classes in the sample every score is the share
 of label 1 (0.5 without labels); an empty table gives an empty result; input columns named like an output column
 are replaced.
@@ -30,7 +31,7 @@ from setflow.llm import common as C
 from setflow.llm.language_id import crc_fold
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE, SAMPLE_BYTES = 4000, 64 << 10
+SAMPLE, SAMPLE_BYTES, SAMPLE_LINES = 4000, 64 << 10, 500
 THRESHOLD = 0.7
 BINS = 8
 OUT = ("score", "predicted")
@@ -231,12 +232,13 @@ def measurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["quality"], pa.array([v.tobytes() for v, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["quality", "measures", "lengths"])
 
 
-def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Field | float:
+def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, most_lines: int = SAMPLE_LINES) -> Field | float:
     """A field from labelled rows outside the held-out fold; a number where one class is missing."""
     C.bounded_batches(df.sparkSession)
     known = labels.where(F.col(label).isNotNull() & (crc_fold(F.col(key), FOLDS) != HELD_OUT)).select(F.col(key).alias("__sf_key"), F.col(label).cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("__sf_key"), "__sf_key", "quality").limit(sample)
-    rows = df.where(F.octet_length(F.col(f"`{text}`")) <= most_bytes).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    own = F.col(f"`{text}`").cast("string")
+    rows = df.where((F.octet_length(own) <= most_bytes) & (F.regexp_count(own, F.lit("\n")) < most_lines)).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     joined = rows.join(F.broadcast(chosen), F.col("key") == F.col("__sf_key"))  # at most `sample` rows
     found = joined.select("key", "quality", "text").mapInArrow(measurer, "quality int, measures binary, lengths binary").toArrow()
     label_values = found["quality"].to_numpy().astype(float) if found.num_rows else np.empty(0)
