@@ -1,7 +1,7 @@
 """Sets that still grow: the bounded files present now are processed once, through the streaming engine.
 
-Graphs themselves are bounded; a streamed scan lets a graph of scans, selections and keyed aggregates take
-only what was added since its last run.
+Graphs themselves are bounded; a streamed scan lets a graph of scans and selections take only what was added since
+its last run.
 """
 
 from __future__ import annotations

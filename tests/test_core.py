@@ -102,7 +102,7 @@ def test_top_k_ties_and_partitions(store):
     assert store.frame(gathered).rdd.getNumPartitions() == 1
 
 
-@pytest.mark.parametrize("name", [k for k in shapes.GRAPHS if not k.startswith("topk")])
+@pytest.mark.parametrize("name", list(shapes.GRAPHS))
 def test_plan_text_of_every_shape(spark, small, name):
     """Printed, parsed and run, a graph gives what its direct compilation gives."""
     own = tpch.store(spark, small)
@@ -119,8 +119,16 @@ def test_plan_text_errors_and_case():
     for bad in ("a(x) <= NOPE('d')", "a(x) SCAN('d')", "a(x) <= SCAN('d'", "a(x) <= SCAN(?)"):
         with pytest.raises(SyntaxError):
             parse_plan(bad)
-    with pytest.raises(AttributeError):
-        print_plan(TopK(Scan("d", "b"), 2, score=lambda b: b["k"]))
+
+
+@pytest.mark.parametrize("fields", [None, lambda b: {"twice": b["w"] + b["w"]}])
+def test_plan_text_of_top_k(store, fields):
+    """With and without fields of its own; ties are in the text too."""
+    best = TopK(Scan("d", "b"), 2, score=lambda b: b["k"], fields=fields, ties=lambda b: [b["w"]])
+    plan = print_plan(Write(best, "out", "r"))
+    assert "AGGREGATE" in str(plan)
+    got = run_plan(parse_plan(str(plan), plan.library), store.read)["out", "r"]
+    assert rows(got.select(*store.frame(best).columns)) == rows(store.frame(best)) and got.count() == 2
 
 
 def test_sets(spark, tmp_path):
