@@ -49,6 +49,7 @@ SHARD_ROWS = 8192
 BUCKET_ROWS = 25_000
 BATCH = 1 << 20
 LEAF = 8
+FLAT = 256
 
 _U = np.uint64
 _LANES = _U(0x0101010101010101)
@@ -105,6 +106,12 @@ def with_prints(df: DataFrame, text: str = "text", size: int = SHINGLE, seed: in
 # --- search within a shard ------------------------------------------------------------------------
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits points differ; a point is a word, or a row of words."""
+    bits = np.bitwise_count(a ^ b)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class Components:
     """Labels of points; a label is the least point of what has been united."""
 
@@ -148,14 +155,53 @@ def leaves(points: np.ndarray, cell: np.ndarray, own: np.ndarray, home: np.ndarr
         at = np.flatnonzero((homes > k) & (place > k))
         other = own[first[at] + k]
         work.leaf += len(at)
-        near = np.bitwise_count(points[own[at]] ^ points[other]) <= radius
+        near = distances(points[own[at]], points[other]) <= radius
         found.unite(own[at[near]], other[near])
 
 
-def vantage_point_search(points: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, Work]:
+def compare_all(points: np.ndarray, homes: np.ndarray, visitors: np.ndarray, radius: int, found: Components, work: Work) -> None:
+    """Compare a large cell: visitors with homes, homes with homes; what is near a first home is one group, whose pairs are left out."""
+
+    def against(own: np.ndarray, others: np.ndarray) -> None:
+        work.leaf += len(own) * len(others)
+        for a in range(0, len(own), 256):
+            for b in range(0, len(others), 4096):
+                i, j = np.nonzero(np.bitwise_count(points[own[a : a + 256], None] ^ points[None, others[b : b + 4096]]).sum(axis=2, dtype=np.int32) <= radius)
+                found.unite(own[a : a + 256][i], others[b : b + 4096][j])
+
+    against(visitors, homes)
+    while len(homes) > 1:
+        work.vantage += len(homes)
+        group = distances(points[homes], points[homes[:1]]) <= radius
+        members, homes = homes[group], homes[~group]
+        found.unite(members, np.full(len(members), members[0]))
+        against(homes, members)
+
+
+def best_cuts(cell: np.ndarray, d: np.ndarray, start: np.ndarray, cut: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(for each cell the distance beyond which the triangle bound leaves out most pairs, or cut where that is under a 32nd; where it isn't).
+
+    cell, d: the homes in order, cells numbered from 0; start: the first of each cell.
+    """
+    count = np.diff(np.append(start, len(cell)))
+    span = int(d.max()) + 2
+    place = cell * span + d
+    after = np.searchsorted(place, place, side="right") - start[cell]  # homes up to this distance
+    apart = np.searchsorted(place, cell * span + np.maximum(d - radius, -1), side="right") - start[cell]  # those that needn't look beyond it
+    left_out = np.maximum(apart - 1, 0) * (count[cell] - after)  # the vantage point has met all
+    most = np.maximum.reduceat(left_out, start)
+    first = np.flatnonzero(left_out == most[cell])
+    first = first[np.unique(cell[first], return_index=True)[1]]
+    parted = 64 * most >= count * count
+    return np.where(parted, d[first], cut), parted
+
+
+def vantage_point_search(points: np.ndarray, shard: np.ndarray, radius: int, best: bool = False, batch: int = BATCH) -> tuple[np.ndarray, Work]:
     """(the least point that each point is linked with, what it took), over pairs of points of one shard.
 
     points are distinct within a shard; one that stands in several shards is a point in each. shard: numbers in order.
+    best: points are rows of words; cut where the bound leaves out most, not always at the median. Where it leaves out next to nothing
+    in a cell of over FLAT homes, but many are near the vantage point, they are one group, and the cell is compared by groups.
     """
     found, work = Components(len(points)), Work()
     size = np.bincount(shard) if len(shard) else np.zeros(0, np.int64)
@@ -169,7 +215,7 @@ def vantage_point_search(points: np.ndarray, shard: np.ndarray, radius: int) ->
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         if not len(edge):
             continue
-        if len(cell) > BATCH and len(edge) > 1:  # half of the cells at a time
+        if len(cell) > batch and len(edge) > 1:  # half of the cells at a time
             half = edge[max(1, int(np.searchsorted(edge, len(cell) // 2, side="right")) - 1)]
             todo += [(cell[half:], own[half:], home[half:], level), (cell[:half], own[:half], home[:half], level)]
             continue
@@ -184,7 +230,7 @@ def vantage_point_search(points: np.ndarray, shard: np.ndarray, radius: int) ->
             continue
         vantage = own[edge][number[large]]  # the first home of the cell
         number, own, home = number[large], own[large], home[large]
-        d = np.bitwise_count(points[own] ^ points[vantage]).astype(np.int64)
+        d = distances(points[own], points[vantage]).astype(np.int64)
         work.vantage += len(d)
         near = d <= radius
         found.unite(own[near], vantage[near])
@@ -196,6 +242,16 @@ def vantage_point_search(points: np.ndarray, shard: np.ndarray, radius: int) ->
         sorted_d = d[held][by]
         cut = sorted_d[start + (count - 1) // 2]
         cut -= cut == sorted_d[start + count - 1]
+        if best:
+            cut, parted = best_cuts(np.repeat(np.arange(len(start)), count), sorted_d, start, cut, radius)
+            ball = np.add.reduceat(sorted_d <= radius, start, dtype=np.int64)
+            flat = np.isin(number, kept[~parted & (count > FLAT) & (32 * ball > count)])
+            for k in np.unique(number[flat]).tolist():
+                here = number == k
+                compare_all(points, own[here & home], own[here & ~home], radius, found, work)
+            number, own, home, d = number[~flat], own[~flat], home[~flat], d[~flat]
+            if not len(number):
+                continue
         at = np.searchsorted(kept, number)
         far = d - cut[at]  # inside where 0 or less
         inner = np.flatnonzero(np.where(home, far <= 0, far <= radius))
