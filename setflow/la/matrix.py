@@ -2,7 +2,8 @@
 
 A block row is (bi, bj, rows, cols, data) with data in row-major order. Element-wise operations, transposes, reductions and
 tilings are column expressions. Products run numpy on pairs of blocks, add up what a task makes before the
-shuffle, and add the rest by block. Only the inverse gathers a matrix, whose size is checked.
+shuffle, and add the rest by block; a chain of products is taken in the order of the fewest multiplications. Only the
+inverse gathers a matrix, whose size is checked.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SCHEMA = "bi int, bj int, rows int, cols int, data array<double>"
 INVERSE_CELLS = 1 << 24
 #: Sums of products that a task holds before it passes them on, in cells.
 HELD_CELLS = 1 << 22
+#: The most cells of a factor that every task gets whole.
+SMALL_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -89,6 +92,15 @@ class Matrix:
         df = keyed.groupBy("bi", "bj").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("data"))
         return Matrix(df.select("bi", "bj", F.lit(r).alias("rows"), F.lit(c).alias("cols"), "data"), shape)
 
+    @staticmethod
+    def from_rows(rows: DataFrame, shape: Shape) -> Matrix:
+        """From (i, x) with every row present, x an array of all its cells."""
+        r, c = shape.rows, shape.cols
+        parts = F.transform(_upto(shape.block_cols), lambda j: F.slice("x", j * c + 1, F.lit(c)))
+        cut = rows.select(F.floor(F.col("i") / r).cast("int").alias("bi"), (F.col("i") % r).alias("a"), F.posexplode(parts).alias("bj", "v"))
+        df = cut.groupBy("bi", "bj").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("a", "v"))), lambda x: x["v"])).alias("data"))
+        return Matrix(df.select("bi", "bj", F.lit(r).alias("rows"), F.lit(c).alias("cols"), "data"), shape)
+
     def cells(self) -> DataFrame:
         """(i, j, v) of every cell; for comparison and small results."""
         flat = self.df.select("bi", "bj", "rows", "cols", F.posexplode("data").alias("pos", "v"))
@@ -128,11 +140,22 @@ class Matrix:
         left = self.df.select(F.col(mine).alias("k"), F.col("bj" if turn else "bi").alias("bi"), F.col("data").alias("a"))
         right = other.df.select(F.col(theirs).alias("k"), F.col("bj"), F.col("data").alias("b"))
         own, its = (self.shape.rows, self.shape.cols), (other.shape.rows, other.shape.cols)
-        part = left.join(right, "k").select("bi", "bj", "a", "b").mapInPandas(_multiplier(own, its, turn), "bi int, bj int, data array<double>")
+        part = self._paired(left, right, other, turn).select("bi", "bj", "a", "b").mapInPandas(_multiplier(own, its, turn), "bi int, bj int, data array<double>")
         size = shape.rows * shape.cols
-        whole = part.groupBy("bi", "bj").applyInPandas(_adder(size), "bi int, bj int, data array<double>")
+        whole = part.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInPandas(_adder(size), "bi int, bj int, data array<double>")
         return Matrix(whole.select("bi", "bj", F.lit(shape.rows).alias("rows"), F.lit(shape.cols).alias("cols"), "data"), shape)
 
+    def _paired(self, left: DataFrame, right: DataFrame, other: Matrix, turn: bool) -> DataFrame:
+        """The blocks that meet. A small factor goes to all tasks; else, where the factors share few blocks, the larger one is dealt further and the other copied."""
+        own, its = self.shape.height * self.shape.width, other.shape.height * other.shape.width
+        if min(own, its) <= SMALL_CELLS:
+            return left.join(F.broadcast(right), "k") if its <= own else F.broadcast(left).join(right, "k")
+        shared, rest = (self.shape.block_rows, self.shape.block_cols) if turn else (self.shape.block_cols, self.shape.block_rows)
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = min(-(-tasks // shared), rest if own >= its else other.shape.block_cols)
+        dealt, copied = F.pmod("bi" if own >= its else "bj", F.lit(pieces)), F.explode(_upto(pieces))
+        return left.withColumn("piece", dealt if own >= its else copied).join(right.withColumn("piece", copied if own >= its else dealt), ["k", "piece"])
+
     # --- transpose and inverse ---
     def transpose(self) -> Matrix:
         s = self.shape
@@ -240,11 +263,25 @@ def _multiplier(a: tuple[int, int], b: tuple[int, int], turn: bool):
 
 
 def _adder(size: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size)
-        for x in frame["data"]:
-            total += np.asarray(x)
-        return pd.DataFrame({"bi": [frame["bi"].iloc[0]], "bj": [frame["bj"].iloc[0]], "data": [total]})
+    """Sums by block of rows that come in the order of blocks; a batch may end within a block."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            keys, data = frame[["bi", "bj"]].to_numpy(np.int32), np.stack(frame["data"].to_numpy()).reshape(-1, size)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            found, sums = keys[starts], np.add.reduceat(data, starts, axis=0)
+            if held is not None and (held[0] == found[0]).all():
+                sums[0] += held[1]
+            elif held is not None:
+                yield pd.DataFrame({"bi": [held[0][0]], "bj": [held[0][1]], "data": [held[1]]})
+            held = found[-1], sums[-1].copy()
+            if len(found) > 1:
+                yield pd.DataFrame({"bi": found[:-1, 0], "bj": found[:-1, 1], "data": list(sums[:-1])})
+        if held is not None:
+            yield pd.DataFrame({"bi": [held[0][0]], "bj": [held[0][1]], "data": [held[1]]})
 
     return run
 

@@ -27,8 +27,8 @@ def embeddings(spark: SparkSession, sf_dir: str) -> Matrix:
     dense = n == 0 or (distinct, least, most) == (n, 0, n - 1)
     numbered = df.select(F.col("vec_id").alias("i"), "embedding") if dense else row_numbers(df)
     rows = max(r for r in range(1, ROWS + 1) if n % r == 0)
-    cells = numbered.select("i", F.posexplode("embedding").alias("j", "v")).select("i", "j", F.round(F.col("v").cast("double") * 1000).alias("v"))
-    return Matrix.from_cells(cells, Shape(rows, COLS, n // rows, WIDTH // COLS))
+    whole = numbered.select("i", F.transform("embedding", lambda v: F.round(v.cast("double") * 1000)).alias("x"))
+    return Matrix.from_rows(whole, Shape(rows, COLS, n // rows, WIDTH // COLS))
 
 
 def program(text: str, cells: bool = True) -> Callable[[SparkSession, str], DataFrame]:

@@ -355,3 +355,35 @@ def test_matrices_have_every_row(spark, tmp_path, n):
         assert got[q] == {(i, j): v for i, row in enumerate(want.tolist()) for j, v in enumerate(row)}, q
     best = matrices.QUERIES["la_max_elem"](spark, str(tmp_path)).collect()
     assert best[0]["v"] == a.max() and (best[0]["row"], best[0]["col"]) == divmod(int(a.argmax()), 64)
+
+
+def test_chains_of_products(spark, monkeypatch):
+    """A chain makes no matrix that is larger than its factors need; both ways of pairing blocks give the product."""
+    from setflow.la import matrix
+
+    a = np.random.default_rng(3).integers(-9, 9, (40, 4)).astype(float)
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(a.tolist())], "i long, x array<double>")
+    made, product = [], Matrix._product
+    monkeypatch.setattr(Matrix, "_product", lambda *args: made.append(args[-1]) or product(*args))
+    for small in (matrix.SMALL_CELLS, 0):
+        monkeypatch.setattr(matrix, "SMALL_CELLS", small)
+        own = language.Program(spark, A=Matrix.from_rows(df, Shape(5, 2, 8, 2)))
+        own.run("L = A %*% A^T %*% A\nR = A^T %*% (A %*% A^T)\nG = A '* A\nO = A %*% A^T")
+        for name, want in {"L": a @ a.T @ a, "R": a.T @ a @ a.T, "G": a.T @ a, "O": a @ a.T}.items():
+            assert (dense(own[name]) == want).all(), name
+    assert [s.height * s.width for s in made[:2]] == [16, 160]
+    with pytest.raises(ShapeError):
+        own.run("Q = A %*% A^T %*% A^T")
+
+
+def test_sums_of_blocks_over_batches():
+    """A block whose rows lie in several batches has one sum."""
+    import pandas as pd
+
+    from setflow.la.matrix import _adder
+
+    keys = [(0, 0), (0, 0), (0, 1), (1, 0), (1, 0), (1, 0), (2, 0)]
+    frame = pd.DataFrame({"bi": [k[0] for k in keys], "bj": [k[1] for k in keys], "data": [np.array([i, 1.0]) for i in range(len(keys))]})
+    for n in range(1, 8):
+        out = pd.concat(_adder(2)(frame[i : i + n] for i in range(0, len(keys), n)))
+        assert [(r.bi, r.bj, *r.data) for r in out.itertuples()] == [(0, 0, 1, 2), (0, 1, 2, 1), (1, 0, 12, 3), (2, 0, 6, 1)]
