@@ -125,16 +125,20 @@ class Join(Computation):
     """Rows of all inputs for which `where` holds. Equalities between inputs become join keys, all else residual conditions.
 
     hints: for slots after the first, a Spark join hint by slot, such as broadcast or shuffle_hash.
+    many: in a join of two inputs, many rows of both may share a key. When the graph is compiled, rows are counted by key, and
+    keys with many pairs are dealt out in pieces (compiler.PIECE_ROWS), so that no task makes all pairs of a key.
     """
 
     name = "join"
 
-    def __init__(self, *inputs: Computation, where: Callable[..., Term] | None, fields: Callable[..., Fields], hints: dict[int, str] | None = None, **types):
+    def __init__(self, *inputs: Computation, where: Callable[..., Term] | None, fields: Callable[..., Fields], hints: dict[int, str] | None = None, many: bool = False, **types):
         self.arity = len(inputs)
         if self.arity < 2:
             raise ValueError("a join has two inputs at least")
+        if many and (self.arity > 2 or hints):
+            raise ValueError("a join of many with many has two inputs and no hints")
         super().__init__(*inputs, **types)
-        self.where, self.fields, self.hints = where, fields, hints or {}
+        self.where, self.fields, self.hints, self.many = where, fields, hints or {}, many
 
 
 @dataclass

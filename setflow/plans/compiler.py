@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setflow.functions.terms import Equal, Member, Row, Self, Term, wrap
 from setflow.operators import computations as N
@@ -14,6 +16,9 @@ from setflow.types import REGISTRY, TypeRegistry
 Reader = Callable[[str, str], DataFrame]
 #: (database, set, field) -> a copy of the set that is bucketed by the field, or None.
 Copies = Callable[[str, str, str], "DataFrame | None"]
+#: In a join of many with many: the rows of a key in one piece, on average; the pairs of a task, on average, and of a join that isn't
+#: dealt in pieces; the most tasks; the most keys that every task gets.
+PIECE_ROWS, TASK_PAIRS, MOST_TASKS, BROADCAST_KEYS = 1 << 11, 1 << 24, 1 << 16, 1 << 18
 
 
 def as_column(value, rows: list[Row]) -> Column:
@@ -72,6 +77,17 @@ class Compiler:
         left = list(node.where(*node.handles()).conjuncts()) if node.where else []
         frames = tuple(self._bucketed(node, k, df, left) for k, df in enumerate(frames))
         rows = [self._row(node, k, df, alias=f"in{k}") for k, df in enumerate(frames)]
+        if node.many and (pieces := self._in_pieces(node, *frames, left)) is not None:
+            one, other, shared = pieces
+            condition = None
+            for name in shared:
+                same = F.col(f"in0.{name}") == F.col(f"in1.{name}")
+                condition = same if condition is None else condition & same
+            for t in left:
+                if not (isinstance(t, Equal) and t.is_key()):
+                    condition = condition & t.compile(rows)
+            out = one.alias("in0").join(other.alias("in1").hint("merge"), condition, "inner")
+            return out.select(*as_columns(node.fields(*node.handles()), rows))
         out, seen, waiting = frames[0].alias("in0"), frozenset([0]), list(range(1, len(frames)))
         while waiting:
             # next comes an input with a key to those joined; inputs without any key are multiplied last
@@ -95,6 +111,43 @@ class Compiler:
             out = out.join(side, condition, "inner")
         return out.select(*as_columns(node.fields(*node.handles()), rows))
 
+    def _in_pieces(self, node: N.Join, one: DataFrame, other: DataFrame, terms: list[Term]) -> tuple[DataFrame, DataFrame, list[str]] | None:
+        """Both inputs cut into pieces by key, each piece of one beside each of the other, and the columns that name a pair of pieces; None where there are few pairs.
+
+        Rows go to pieces by a hash of all columns, so rows that are equal in all of them share a piece.
+        """
+        sides = [t.kids if t.kids[0].inputs() == {0} else t.kids[::-1] for t in terms if isinstance(t, Equal) and t.is_key()]
+        keys = [f"__key{i}" for i in range(len(sides))]
+        dealt = []
+        for slot, df in enumerate((one, other)):
+            row = self._row(node, slot, df)
+            dealt.append(df.withColumns({k: s[slot].compile([row] * 2) for k, s in zip(keys, sides)}))
+        for k in keys:  # equal keys must have equal hashes
+            kinds = [df.schema[k].dataType for df in dealt]
+            if kinds[0].simpleString() != kinds[1].simpleString():
+                if not all(isinstance(t, T.NumericType) for t in kinds):
+                    return None
+                wider = dealt[0].select(k).union(dealt[1].select(k)).schema[k].dataType
+                dealt = [df.withColumn(k, F.col(k).cast(wider)) for df in dealt]
+        if not keys:
+            return None
+        n = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"__n{slot}")) for slot, df in enumerate(dealt)]
+        both = n[0].join(n[1], keys)
+        pairs, found = both.agg(F.sum(F.col("__n0").cast("double") * F.col("__n1")), F.count(F.lit(1))).first()
+        if (pairs or 0) <= TASK_PAIRS:
+            return None
+        both = both.select(*keys, *(F.ceil(F.col(f"__n{slot}") / PIECE_ROWS).cast("int").alias(f"__most{slot}") for slot in (0, 1)))
+        both = F.broadcast(both) if found <= BROADCAST_KEYS else both
+        shared = [*keys, "__piece0", "__piece1"]
+        tasks = min(MOST_TASKS, max(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS)))
+        for slot, df in enumerate(dealt):
+            # a map has no hash
+            named = [F.col(f"`{f.name}`") for f in (one, other)[slot].schema.fields if "map<" not in f.dataType.simpleString()]
+            own = F.pmod(F.xxhash64(*named), F.col(f"__most{slot}")).cast("int")
+            put = df.join(both, keys).withColumn(f"__piece{slot}", own).withColumn(f"__piece{1 - slot}", F.explode(F.sequence(F.lit(0), F.col(f"__most{1 - slot}") - 1)))
+            dealt[slot] = put.repartition(tasks, *shared)
+        return dealt[0], dealt[1], shared
+
     def _bucketed(self, node: N.Join, slot: int, df: DataFrame, terms: list[Term]) -> DataFrame:
         """A copy of a scanned set that is bucketed by a field that is a join key, where there is one."""
         source = node.inputs[slot]

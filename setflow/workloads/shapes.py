@@ -55,7 +55,7 @@ def join_computed_key() -> Computation:
 def join_object_key() -> Computation:
     """Whole structs as keys."""
     key = lambda a, b: native(lambda x, y: F.struct(x.cast("long").alias("a"), y.cast("long").alias("b")), a, b)
-    return Join(scan("customer"), scan("supplier"), where=lambda c, s: key(c["c_nationkey"], c["c_custkey"] % 5) == key(s["s_nationkey"], s["s_suppkey"] % 5), fields=lambda c, s: {"c_custkey": c["c_custkey"], "s_suppkey": s["s_suppkey"]})
+    return Join(scan("customer"), scan("supplier"), where=lambda c, s: key(c["c_nationkey"], c["c_custkey"] % 5) == key(s["s_nationkey"], s["s_suppkey"] % 5), fields=lambda c, s: {"c_custkey": c["c_custkey"], "s_suppkey": s["s_suppkey"]}, many=True)
 
 
 def join_cross() -> Computation:
@@ -77,7 +77,7 @@ def join_scalar_agg() -> Computation:
 
 def join_self() -> Computation:
     one = scan("supplier")
-    return Join(one, one, where=lambda a, b: (a["s_nationkey"] == b["s_nationkey"]) & (a["s_suppkey"] < b["s_suppkey"]), fields=lambda a, b: {"a": a["s_suppkey"], "b": b["s_suppkey"]})
+    return Join(one, one, where=lambda a, b: (a["s_nationkey"] == b["s_nationkey"]) & (a["s_suppkey"] < b["s_suppkey"]), fields=lambda a, b: {"a": a["s_suppkey"], "b": b["s_suppkey"]}, many=True)
 
 
 def join_broadcast() -> Computation:

@@ -387,3 +387,33 @@ def test_sums_of_blocks_over_batches():
     for n in range(1, 8):
         out = pd.concat(_adder(2)(frame[i : i + n] for i in range(0, len(keys), n)))
         assert [(r.bi, r.bj, *r.data) for r in out.itertuples()] == [(0, 0, 1, 2), (0, 1, 2, 1), (1, 0, 12, 3), (2, 0, 6, 1)]
+
+
+def test_joins_of_many_with_many_are_dealt(spark, monkeypatch):
+    """A key that all rows share makes its pairs in many tasks; the pairs are those of a plain join, nulls, repeated rows and key types included."""
+    from collections import Counter
+
+    from setflow.plans import compiler
+
+    a = [(i, None if i % 50 == 0 else i % 3 if i > 900 else 7, float(i % 2)) for i in range(1000)]
+    b = [(i, None if i % 40 == 0 else i % 5 if i > 350 else 7, float(i % 2)) for i in range(400)] * 2
+    own = SetStore(spark).attach_frame("d", "a", spark.createDataFrame(a, "i int, k int, f double").coalesce(1))
+    own.attach_frame("d", "b", spark.createDataFrame(b, "j long, k long, f double").coalesce(1)).attach_frame("d", "m", spark.createDataFrame([(1, {1: 2})] * 9, "k int, m map<int,int>"))
+    want = Counter((x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1] and x[2] <= y[2])
+    join = lambda many: Join(Scan("d", "a"), Scan("d", "b"), where=lambda x, y: (x["k"] == y["k"]) & native(lambda p, q: p <= q, x["f"], y["f"]), fields=lambda x, y: {"i": x["i"], "j": y["j"]}, many=many)
+    alike = Join(own_scan := Scan("d", "a"), own_scan, where=lambda x, y: x["k"] == y["k"], fields=lambda x, y: {"i": x["i"], "j": y["i"]}, many=True)
+    maps = Join(Scan("d", "m"), Scan("d", "m"), where=lambda x, y: x["k"] == y["k"], fields=lambda x, y: {"x": x.itself(), "k": y["k"]}, many=True)
+    assert Counter(map(tuple, own.frame(join(True)).collect())) == want  # few pairs: as before
+    monkeypatch.setattr(compiler, "TASK_PAIRS", 10_000)
+    monkeypatch.setattr(compiler, "PIECE_ROWS", 64)
+    for most in (compiler.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(compiler, "BROADCAST_KEYS", most)
+        got = own.frame(join(True))
+        each = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(each) == want.total() and max(each) < want.total() / 8
+        assert Counter(map(tuple, got.collect())) == want
+    assert Counter(map(tuple, own.frame(alike).collect())) == Counter((x[0], y[0]) for x in a for y in a if x[1] is not None and x[1] == y[1])
+    monkeypatch.setattr(compiler, "TASK_PAIRS", 10)
+    assert own.frame(maps).count() == 81
+    with pytest.raises(ValueError):
+        Join(Scan("d", "a"), Scan("d", "a"), Scan("d", "b"), where=None, fields=lambda *x: {}, many=True)
