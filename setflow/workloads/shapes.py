@@ -49,7 +49,7 @@ def join_equi3() -> Computation:
 
 def join_computed_key() -> Computation:
     """Method results as keys, two of them."""
-    return Join(customers(), suppliers(), where=lambda c, s: (c.call("balanceBand") == s.call("balanceBand")) & (c.call("nationOf") == s.call("nationOf")), fields=lambda c, s: {"c_custkey": c["c_custkey"], "s_suppkey": s["s_suppkey"]})
+    return Join(customers(), suppliers(), where=lambda c, s: (c.call("balanceBand") == s.call("balanceBand")) & (c.call("nationOf") == s.call("nationOf")), fields=lambda c, s: {"c_custkey": c["c_custkey"], "s_suppkey": s["s_suppkey"]}, many=True)
 
 
 def join_object_key() -> Computation:

@@ -417,3 +417,16 @@ def test_joins_of_many_with_many_are_dealt(spark, monkeypatch):
     assert own.frame(maps).count() == 81
     with pytest.raises(ValueError):
         Join(Scan("d", "a"), Scan("d", "a"), Scan("d", "b"), where=None, fields=lambda *x: {}, many=True)
+
+
+@pytest.mark.parametrize("name", ["join_object_key", "join_computed_key", "join_self"])
+def test_queries_of_many_with_many(spark, small, monkeypatch, name):
+    """Dealt in pieces they make the same rows, in several tasks."""
+    from setflow.plans import compiler
+    from tests.oracle import check
+
+    folder = small.replace("sf0.001", "sf0.01")
+    monkeypatch.setattr(compiler, "TASK_PAIRS", 100)
+    monkeypatch.setattr(compiler, "PIECE_ROWS", 4)
+    assert shapes.QUERIES[name](spark, folder).select(F.spark_partition_id()).distinct().count() > 1
+    check(spark, folder, shapes.QUERIES[name], shapes.ORACLE[name])
