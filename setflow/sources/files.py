@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,21 +37,33 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(*[p.getItem(i).cast("int").alias(c) for i, c in enumerate(("doc_id", "word_id", "n"))])
 
 
-def nested_customers(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, supplier: DataFrame, part: DataFrame, copies: int = 1) -> DataFrame:
-    """All customers, with their orders, which hold their lines with supplier and part (an empty array where there are none); a copy number makes replicas."""
+def nested_customers(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, supplier: DataFrame, part: DataFrame, copies: int = 1, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """All customers, with their orders, which hold their lines with supplier and part (an empty array where there are none); a copy number makes replicas.
+
+    With `fields` objects have no other fields. Every object stays; a supplier or part without any of them keeps its key.
+    """
+
+    def held_of(key: str, *names: str) -> Column:
+        kept = [n for n in names if fields is None or n in fields]
+        return F.struct(*(kept or [key]))
+
     lines = (
-        lineitem.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.struct("s_suppkey", "s_name").alias("supplier")), "l_suppkey")
-        .join(part.select(F.col("p_partkey").alias("l_partkey"), F.struct("p_partkey", "p_name").alias("part")), "l_partkey")
-        .groupBy("l_orderkey")
-        .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "supplier", "part"))).alias("lines"))
+        lineitem.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), held_of("s_suppkey", "s_suppkey", "s_name").alias("supplier")), "l_suppkey")
+        .join(part.select(F.col("p_partkey").alias("l_partkey"), held_of("p_partkey", "p_partkey", "p_name").alias("part")), "l_partkey")
+        .select("l_orderkey", *(n for n in ("l_linenumber", "l_quantity") if fields is None or n in fields), "supplier", "part")
     )
+    line = [n for n in lines.columns if n != "l_orderkey"]
+
     def or_none(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.coalesce(F.col(name), F.array().cast(df.schema[name].dataType)))
 
+    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*line))).alias("lines"))
+    order = [n for n in ("o_orderkey", "o_totalprice") if fields is None or n in fields]
     held = (
         or_none(orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left"), "lines")
         .groupBy("o_custkey")
-        .agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice", "lines"))).alias("orders"))
+        .agg(F.sort_array(F.collect_list(F.struct(*order, "lines"))).alias("orders"))
     )
-    out = or_none(customer.join(held, customer["c_custkey"] == held["o_custkey"], "left").drop("o_custkey"), "orders")
+    own = customer.columns if fields is None else [n for n in customer.columns if n in fields]
+    out = or_none(customer.join(held, customer["c_custkey"] == held["o_custkey"], "left").select(*(customer[n] for n in own), "orders"), "orders")
     return out if copies == 1 else out.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))

@@ -430,3 +430,13 @@ def test_queries_of_many_with_many(spark, small, monkeypatch, name):
     monkeypatch.setattr(compiler, "PIECE_ROWS", 4)
     assert shapes.QUERIES[name](spark, folder).select(F.spark_partition_id()).distinct().count() > 1
     check(spark, folder, shapes.QUERIES[name], shapes.ORACLE[name])
+
+
+def test_nested_queries_hold_what_they_read(spark, small):
+    """Only the fields that are read are gathered in nested objects; none of the objects is lost."""
+    whole, cut = (nested.store(spark, small, f).read(nested.DB, "customers") for f in (None, nested.READS["nested_supplier_parts"]))
+    kept = {f.name: f.dataType for f in cut.schema.fields}
+    order = kept["orders"].elementType
+    assert list(kept) == ["c_name", "orders"] and order.names == ["lines"] and order["lines"].dataType.elementType.simpleString() == "struct<supplier:struct<s_name:string>,part:struct<p_partkey:bigint>>"
+    n = lambda df: df.agg(F.count("*"), F.sum(F.size("orders")), F.sum(F.size(F.flatten("orders.lines")))).first()
+    assert n(whole) == n(cut)
