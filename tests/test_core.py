@@ -440,3 +440,46 @@ def test_nested_queries_hold_what_they_read(spark, small):
     assert list(kept) == ["c_name", "orders"] and order.names == ["lines"] and order["lines"].dataType.elementType.simpleString() == "struct<supplier:struct<s_name:string>,part:struct<p_partkey:bigint>>"
     n = lambda df: df.agg(F.count("*"), F.sum(F.size("orders")), F.sum(F.size(F.flatten("orders.lines")))).first()
     assert n(whole) == n(cut)
+
+
+def test_topics_in_shards(spark, monkeypatch):
+    """Words dealt to many shards keep every occurrence, repeated triples too, and draws don't depend on how rows are dealt; two kinds of documents get two topics."""
+    from setflow.ml import topics
+
+    triples = [(d, w + 10 * (d % 2), 3) for d in range(40) for w in range(10)] + [(0, 0, 2)]
+    df = spark.createDataFrame(triples, "doc_id long, word_id int, n int")
+    monkeypatch.setattr(topics, "SHARD_WORDS", 3)
+    keep = lambda x: x.localCheckpoint()
+    docs, words, assigned = topics.lda(df, 2, rounds=1, seed=4, keep=keep)
+    whole = {(r["doc_id"], r["word_id"]): r["n"] for r in assigned.groupBy("doc_id", "word_id").agg(F.sum("n").alias("n")).collect()}
+    assert whole == {(d, w): 5 if (d, w) == (0, 0) else n for d, w, n in triples[:-1]}
+    assert np.allclose([sum(r["p"]) for r in docs.collect()], 1) and np.allclose(np.sum([r["p"] for r in words.collect()], axis=0), 1)
+    monkeypatch.setattr(topics, "SHARD_WORDS", 1 << 15)
+    again = topics.lda(df.repartition(7), 2, rounds=1, seed=4, keep=keep, vocabulary=df.select("word_id").distinct())[2]
+    assert rows(again) == rows(assigned)
+    docs, _, _ = topics.lda(df, 2, rounds=15, seed=4, keep=keep)
+    p = {r["doc_id"]: r["p"][0] for r in docs.collect()}
+    assert abs(np.mean([p[d] for d in range(0, 40, 2)]) - np.mean([p[d] for d in range(1, 40, 2)])) > 0.6
+
+
+@pytest.mark.parametrize("shape", [0.3, 1.0, 5.5, 400.0])
+def test_gamma_draws(shape):
+    from setflow.ml import topics
+
+    x = topics.gammas(3, 1, topics.WORDS, np.arange(40000), np.full((40000, 2), shape))
+    assert np.allclose(x.mean(axis=0), shape, rtol=0.05) and np.allclose(x.var(axis=0), shape, rtol=0.08)
+    assert abs(np.corrcoef(x.T)[0, 1]) < 0.02
+    assert (topics.gammas(3, 1, topics.WORDS, np.array([7]), np.full((1, 2), shape)) == x[7]).all()
+
+
+def test_words_packed_over_batches():
+    import pyarrow as pa
+
+    from setflow.ml import topics
+
+    data = [(1, 0, 5, 1), (1, 0, 5, 2), (1, 0, 6, 1), (1, 1, 3, 1), (2, 1, 3, 1), (2, 1, 3, 4), (2, 1, 9, 1), (3, 0, 1, 1)]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    for n in range(1, 9):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*data[i : i + n]), kinds)], ["doc_id", "shard", "word_id", "n"]) for i in range(0, 8, n)]
+        got = [tuple(r.values()) for b in topics._packed(iter(batches)) for r in b.to_pylist()]
+        assert got == [(1, 0, [5, 6], [3, 1]), (1, 1, [3], [1]), (2, 1, [3, 9], [5, 1]), (3, 0, [1], [1])]
